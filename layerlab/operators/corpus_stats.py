@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from layerlab.functions.fixed_values import SENTIMENT_ALPHA
 from layerlab.functions.text import remove_stop_words, tokenize_words
-from layerlab.plans.materialize import inline_if_small
+from layerlab.plans.materialize import inline_if_small, via_parquet
 from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
 
@@ -148,10 +148,11 @@ def density_estimate(df: DataFrame, value: str, points: int = 200, cut: float =
 
 def box_stats(df: DataFrame, group: str, value: str, exact_rows: int = 2_000_000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers inside the data, outliers per group."""
-    data = df.filter(F.col(value).isNotNull())
-    quart = exact_quantiles(data, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], exact_rows)
     x = F.col(value).cast("double")
-    joined = null_safe_join(data.select(group, x.alias("_x")), inline_if_small(quart), [group], "inner")
+    # read several times below: two narrow columns are cheaper to write than to derive again
+    data = via_parquet(df.filter(F.col(value).isNotNull()).select(group, x.alias("_x")), "box-values")
+    quart = exact_quantiles(data, [group], "_x", [0.25, 0.5, 0.75], ["q1", "median", "q3"], exact_rows)
+    joined = null_safe_join(data, inline_if_small(quart), [group], "inner")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(group, "q1", "median", "q3").agg(
@@ -165,23 +166,31 @@ def box_stats(df: DataFrame, group: str, value: str, exact_rows: int = 2_000_000
 # ---- terms -------------------------------------------------------------------
 
 
-def _tokens(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def _tokens(
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    stop_words: Sequence[str] = (),
+    only: Sequence[str] | None = None,
+) -> DataFrame:
     tokens = tokenize_words(F.col(text))
-    if stop_words:
+    if only is not None:
+        tokens = F.filter(tokens, lambda t: t.isin(list(only)))
+    elif stop_words:
         tokens = remove_stop_words(tokens, list(stop_words))
-    return df.select(doc, *keep, F.explode(tokens).alias("term"))
+    return df.select(*keys, F.explode(tokens).alias("term"))
 
 
 def bag_of_words(df: DataFrame, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """Corpus count per term; the partial aggregate absorbs frequent terms."""
-    return _tokens(df.withColumn("_d", F.lit(0)), "_d", text, stop_words).groupBy("term").agg(
-        F.count(F.lit(1)).alias("total")
-    )
+    return _tokens(df, [], text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
 
 
-def doc_terms(df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Count per (document, term)."""
-    return _tokens(df, doc, text, stop_words).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+def doc_terms(
+    df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = (), only: Sequence[str] | None = None
+) -> DataFrame:
+    """Count per (document, term), for all terms or only the listed ones."""
+    return _tokens(df, [doc], text, stop_words, only).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(totals: DataFrame, k: int = 20, by: str = "total") -> DataFrame:
@@ -189,25 +198,30 @@ def top_terms(totals: DataFrame, k: int = 20, by: str = "total") -> DataFrame:
     return totals.orderBy(F.desc(by), F.asc("term")).limit(k)
 
 
+def vocabulary(df: DataFrame, text: str, max_features: int, stop_words: Sequence[str] = ()) -> list[str]:
+    """The most frequent terms as a list; at most `max_features` rows reach the driver."""
+    top = top_terms(bag_of_words(df, text, stop_words), max_features)
+    return sorted(r["term"] for r in top.collect())
+
+
 def tfidf(
-    df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = (), vocabulary: DataFrame | None = None
+    df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = (), only: Sequence[str] | None = None
 ) -> DataFrame:
     """(doc, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), L2-normed per document.
 
-    The term join is left to adaptive execution: the idf table is broadcast
-    when it turns out small, otherwise skewed (frequent) terms are split. The
-    norm is a grouped sum joined back, not a window.
+    Document frequencies read the same shuffled counts as the main branch (one
+    tokenisation). The term join is left to adaptive execution: a small idf
+    table is broadcast, otherwise partitions of frequent terms are split. The
+    norm is a window over one document's distinct terms.
     """
-    counts = doc_terms(df, doc, text, stop_words)
-    if vocabulary is not None:
-        counts = counts.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
+    counts = doc_terms(df, doc, text, stop_words, only)
     n = df.agg(F.count(F.lit(1))).scalar()
-    idf = counts.groupBy("term").agg(
-        (F.log((1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("_idf")
-    )
+    # counting tf > 0 keeps the column, so that the exchange below is shared
+    seen = F.sum((F.col("tf") > 0).cast("long"))
+    idf = counts.groupBy("term").agg((F.log((1.0 + n) / (1.0 + seen)) + 1.0).alias("_idf"))
     raw = counts.join(idf, "term").select(doc, "term", "tf", (F.col("tf") * F.col("_idf")).alias("_w"))
-    norms = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, doc).select(doc, "term", "tf", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    return raw.select(doc, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf_totals(df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -225,19 +239,17 @@ def tfidf_by_class(
 ) -> DataFrame:
     """Mean TF-IDF per class and term over the most frequent terms.
 
-    The vocabulary has at most `max_features` rows. Documents without a term
-    count 0 in the mean (sum / class size).
+    Documents without a term count 0 in the mean (sum / class size).
     """
-    vocabulary = top_terms(bag_of_words(df, text, stop_words), max_features).select("term")
-    weights = tfidf(df, doc, text, stop_words, vocabulary)
+    terms = vocabulary(df, text, max_features, stop_words)
+    weights = tfidf(df, doc, text, only=terms)
     sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     sums = (
         weights.join(df.select(doc, label), doc)
         .groupBy(label, "term")
         .agg(F.sum("weight").alias("_s"))
     )
-    terms = vocabulary.agg(F.sort_array(F.collect_list("term"))).scalar()
-    cells = sizes.withColumn("term", F.explode(terms))
+    cells = sizes.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
     return cells.join(sums, [label, "term"], "left").select(
         label, "term", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("mean_tfidf")
     )

@@ -52,6 +52,16 @@ def via_parquet(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the cluster has cores.
+
+    For work that is heavy per row on an input of few files; a large input has
+    many partitions already and is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:
     """Evaluate a small side now and broadcast it if it has at most `max_rows` rows.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerlab.functions import vectors as V
+from layerlab.plans.materialize import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table, spread over the cores when it is a single small file."""
+    key = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}[name]
+    return spread(table(spark, sf_dir, name), key)
+
+
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Rounded value without a negative zero."""
     x = F.round(c, digits)

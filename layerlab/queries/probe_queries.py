@@ -9,7 +9,19 @@ from layerlab.operators import evaluation as E
 from layerlab.operators import layer_stats as S
 from layerlab.plans import probes as P
 from layerlab.plans.encode import HashEncoder, encode_layers
-from layerlab.queries.base import LONG_SPLIT_SQL, PRED_SQL, predictions, query, r6, s6, split_of, split_vectors, table
+from layerlab.queries.base import (
+    LONG_SPLIT_SQL,
+    PRED_SQL,
+    corpus,
+    long_vectors,
+    predictions,
+    query,
+    r6,
+    s6,
+    split_of,
+    split_vectors,
+)
+from layerlab.operators.tables import apply_split
 
 SUMMARY = ["train_accuracy", "test_accuracy", "test_macro_f1", "test_weighted_f1", "silhouette_score"]
 
@@ -85,7 +97,7 @@ _FEATURE = "('0x' || substr(md5(concat(layer, ':0:', i, ':', md5(text))), 1, 8))
     f"SELECT doc_id, layer::INTEGER AS layer, i::INTEGER AS dim, {s6(_FEATURE)} AS value FROM documents, range(3) a(layer), range(4) b(i)",
 )
 def m1(spark, d):
-    out = encode_layers(table(spark, d, "documents"), lambda: HashEncoder(3, 4), "doc_id", "text")
+    out = encode_layers(corpus(spark, d), lambda: HashEncoder(3, 4), "doc_id", "text")
     return out.select("doc_id", "layer", F.posexplode("vec").alias("dim", "value")).withColumn("value", r6("value"))
 
 
@@ -106,8 +118,10 @@ def m1(spark, d):
       {s6('sil')} AS silhouette_score FROM acc JOIN f USING (layer) JOIN sil USING (layer)""",
 )
 def e13(spark, d):
-    pred = predictions(spark, d).filter("depth = 0").join(split_of(spark, d).select("sample_id", "split"), "sample_id")
+    split = split_of(spark, d)
+    pred = apply_split(predictions(spark, d).filter("depth = 0"), split)
     counts = E.confusion_counts(pred, ["layer", "split"])
-    silhouette = S.silhouette_exact(split_vectors(spark, d).filter("split = 'test'"), ["layer"])
+    test = apply_split(long_vectors(spark, d), split.filter("split = 'test'"))
+    silhouette = S.silhouette_exact(test, ["layer"])
     out = E.summary_table(counts, silhouette)
     return out.select("layer", *[r6(c).alias(c) for c in SUMMARY])

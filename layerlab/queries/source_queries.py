@@ -15,7 +15,10 @@ from layerlab.queries.base import LONG_SQL, RESULTS_SQL, layer_map, long_vectors
 from layerlab.sources import corpora, layer_files, sinks
 from layerlab.streaming import layer_streams
 
-_TOTAL = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+
+
+def _total():
+    return F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
 
 
 @query(
@@ -81,7 +84,7 @@ def _batch_files(spark, d):
 def s3(spark, d):
     samples = layer_files.read_layer_vectors(spark, _batch_files(spark, d))
     long = melt_layers(samples.drop("file_name"))
-    return long.select("model", "dataset", "batch_idx", "pos", "layer", r6(_TOTAL).alias("total"))
+    return long.select("model", "dataset", "batch_idx", "pos", "layer", r6(_total()).alias("total"))
 
 
 @query(
@@ -159,7 +162,7 @@ def s9(spark, d):
         F.floor(F.col("sample_id") / 16).cast("int").alias("batch_idx"), "sample_id", "layer", "vec",
     )
     sinks.write_layer_vectors(long, path)
-    return spark.read.parquet(path).select("model", "dataset", "batch_idx", "sample_id", "layer", r6(_TOTAL).alias("total"))
+    return spark.read.parquet(path).select("model", "dataset", "batch_idx", "sample_id", "layer", r6(_total()).alias("total"))
 
 
 @query(
@@ -244,7 +247,7 @@ def r1(spark, d):
     source, target, state = _batch_files(spark, d), scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
     for _ in range(2):  # the second run finds nothing new
         layer_streams.ingest_batches(spark, source, target, state)
-    return spark.read.parquet(target).select("model", "dataset", "batch_idx", "pos", "layer", r6(_TOTAL).alias("total"))
+    return spark.read.parquet(target).select("model", "dataset", "batch_idx", "pos", "layer", r6(_total()).alias("total"))
 
 
 @query(

@@ -15,6 +15,7 @@ from layerlab.queries.base import (
     STOP_WORDS,
     SYMBOL_NAMES,
     WORDS_SQL,
+    corpus,
     labelled,
     query,
     r6,
@@ -33,12 +34,12 @@ def _clean_sql(column: str, keep: str, pairs: dict[str, str]) -> str:
 
 @query("f1_clean_text_keep_punct", f"SELECT page_id, {_clean_sql('html', '.,!?', EMOTICONS)} AS clean_text FROM pages")
 def f1(spark, d):
-    return table(spark, d, "pages").select("page_id", X.clean_text_keep_punct(F.col("html")).alias("clean_text"))
+    return corpus(spark, d, "pages").select("page_id", X.clean_text_keep_punct(F.col("html")).alias("clean_text"))
 
 
 @query("f2_clean_text_alnum", f"SELECT doc_id, {_clean_sql('text', '', EMOTICONS)} AS clean_text FROM documents")
 def f2(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.clean_text_alnum(F.col("text")).alias("clean_text"))
+    return corpus(spark, d).select("doc_id", X.clean_text_alnum(F.col("text")).alias("clean_text"))
 
 
 @query(
@@ -46,19 +47,19 @@ def f2(spark, d):
     f"SELECT doc_id, {sql_replace('text', {k: f':{v}:' for k, v in SYMBOL_NAMES.items()})} AS named FROM documents",
 )
 def f3(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.emoji_to_name(F.col("text"), SYMBOL_NAMES).alias("named"))
+    return corpus(spark, d).select("doc_id", X.emoji_to_name(F.col("text"), SYMBOL_NAMES).alias("named"))
 
 
 @query("f4_replace_emoticons", f"SELECT page_id, {sql_replace('html', EMOTICONS_SHORT)} AS replaced FROM pages")
 def f4(spark, d):
-    return table(spark, d, "pages").select(
+    return corpus(spark, d, "pages").select(
         "page_id", X.replace_emoticons(F.col("html"), EMOTICONS_SHORT).alias("replaced")
     )
 
 
 @query("f5_lower_only", "SELECT conv_id, turn, lower(coalesce(text, '')) AS lowered FROM conversations")
 def f5(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.lower_text(F.col("text")).alias("lowered"))
+    return corpus(spark, d, "conversations").select("conv_id", "turn", X.lower_text(F.col("text")).alias("lowered"))
 
 
 @query(
@@ -107,7 +108,7 @@ def f8(spark, d):
 )
 def f9(spark, d):
     t = X.tokenize_words(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", t.alias("w")).select(
+    return corpus(spark, d).select("doc_id", t.alias("w")).select(
         "doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens")
     )
 
@@ -119,7 +120,7 @@ def f9(spark, d):
 )
 def f10(spark, d):
     t = X.remove_stop_words(X.tokenize_words(F.col("text")), STOP_WORDS)
-    return table(spark, d, "documents").select("doc_id", t.alias("w")).select(
+    return corpus(spark, d).select("doc_id", t.alias("w")).select(
         "doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens")
     )
 
@@ -141,7 +142,7 @@ def _tfidf_sql(stop: list[str] | None = None, vocabulary: str | None = None) ->
     f"WITH {_tfidf_sql()} SELECT doc_id, term, tf, {s6('weight')} AS weight FROM weights",
 )
 def f11(spark, d):
-    w = C.tfidf(table(spark, d, "documents"), "doc_id", "text")
+    w = C.tfidf(corpus(spark, d), "doc_id", "text")
     return w.select("doc_id", "term", "tf", r6("weight").alias("weight"))
 
 
@@ -156,7 +157,7 @@ _TOP_SQL = f"""tok AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents
     FROM documents d CROSS JOIN top t LEFT JOIN c ON c.doc_id = d.doc_id AND c.term = t.term""",
 )
 def f12(spark, d):
-    docs = table(spark, d, "documents")
+    docs = corpus(spark, d)
     return C.term_long_format(docs, "doc_id", "text", C.top_terms(C.bag_of_words(docs, "text")))
 
 
@@ -179,7 +180,7 @@ def lexicon(docs):
     f"WITH {_LEXICON_SQL} SELECT doc_id, {s6('compound')} AS compound FROM sentiment",
 )
 def f13(spark, d):
-    docs = table(spark, d, "documents")
+    docs = corpus(spark, d)
     out = C.lexicon_sentiment(docs, "doc_id", "text", lexicon(docs))
     return out.select("doc_id", r6("compound").alias("compound"))
 
@@ -215,7 +216,7 @@ def f14(spark, d):
 def f15(spark, d):
     key = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.concat_ws(" | ", "source", "lang"))
     model, dataset = X2.parse_experiment_key(F.col("key"))
-    return table(spark, d, "documents").select("doc_id", key.alias("key")).select(
+    return corpus(spark, d).select("doc_id", key.alias("key")).select(
         "doc_id", model.alias("model"), dataset.alias("dataset")
     )
 
@@ -257,7 +258,7 @@ def f21(spark, d):
        source AS decoded FROM documents""",
 )
 def f22(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    docs = corpus(spark, d).select("doc_id", "source")
     coded = encode_labels(docs, "source")
     decoded = decode_labels(coded.select("doc_id", "code"), docs, "source").select(
         "doc_id", F.col("source").alias("decoded")
@@ -296,7 +297,7 @@ def j5(spark, d):
     SELECT term, count(*) AS total FROM tok GROUP BY term""",
 )
 def a20(spark, d):
-    return C.bag_of_words(table(spark, d, "documents"), "text")
+    return C.bag_of_words(corpus(spark, d), "text")
 
 
 @query(
@@ -304,7 +305,7 @@ def a20(spark, d):
     f"WITH {_tfidf_sql()} SELECT term, {s6('sum(weight)')} AS total FROM weights GROUP BY term",
 )
 def a21(spark, d):
-    return C.tfidf_totals(table(spark, d, "documents"), "doc_id", "text").select("term", r6("total").alias("total"))
+    return C.tfidf_totals(corpus(spark, d), "doc_id", "text").select("term", r6("total").alias("total"))
 
 
 _VOC_SQL = f"SELECT term FROM tok2 GROUP BY term ORDER BY count(*) DESC, term LIMIT 30"
@@ -319,13 +320,13 @@ _VOC_SQL = f"SELECT term FROM tok2 GROUP BY term ORDER BY count(*) DESC, term LI
     FROM sizes z CROSS JOIN ({_VOC_SQL}) v LEFT JOIN sums s ON s.lang = z.lang AND s.term = v.term""",
 )
 def a22(spark, d):
-    out = C.tfidf_by_class(table(spark, d, "documents"), "doc_id", "text", "lang", STOP_WORDS)
+    out = C.tfidf_by_class(corpus(spark, d), "doc_id", "text", "lang", STOP_WORDS)
     return out.select("lang", "term", r6("mean_tfidf").alias("mean_tfidf"))
 
 
 @query("t1_top_terms", f"WITH {_TOP_SQL} SELECT term, total FROM top")
 def t1(spark, d):
-    return C.top_terms(C.bag_of_words(table(spark, d, "documents"), "text"))
+    return C.top_terms(C.bag_of_words(corpus(spark, d), "text"))
 
 
 @query(
@@ -335,11 +336,8 @@ def t1(spark, d):
     SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM top) GROUP BY ALL""",
 )
 def t2(spark, d):
-    docs = table(spark, d, "documents")
-    top = C.top_terms(C.bag_of_words(docs, "text"), 30)
-    return C.doc_terms(docs, "doc_id", "text").join(F.broadcast(top.select("term")), "term", "left_semi").select(
-        "doc_id", "term", "tf"
-    )
+    docs = corpus(spark, d)
+    return C.doc_terms(docs, "doc_id", "text", only=C.vocabulary(docs, "text", 30))
 
 
 @query(
@@ -352,7 +350,7 @@ def t2(spark, d):
     FROM range(30) r(b) CROSS JOIN span LEFT JOIN c ON c.bin = b""",
 )
 def a23(spark, d):
-    docs = table(spark, d, "documents")
+    docs = corpus(spark, d)
     scores = C.lexicon_sentiment(docs, "doc_id", "text", lexicon(docs))
     return C.histogram(scores, "compound").select("bin", r6("lower").alias("lower"), r6("upper").alias("upper"), "n")
 
@@ -369,7 +367,7 @@ def a23(spark, d):
     FROM j GROUP BY lang, q1, median, q3""",
 )
 def a24(spark, d):
-    docs = table(spark, d, "documents")
+    docs = corpus(spark, d)
     scores = C.lexicon_sentiment(docs, "doc_id", "text", lexicon(docs), ["lang"])
     out = C.box_stats(scores, "lang", "compound")
     nums = ["q1", "median", "q3", "whisker_low", "whisker_high"]
