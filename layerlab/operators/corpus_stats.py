@@ -187,10 +187,19 @@ def bag_of_words(df: DataFrame, text: str, stop_words: Sequence[str] = ()) -> Da
 
 
 def doc_terms(
-    df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = (), only: Sequence[str] | None = None
+    df: DataFrame,
+    doc: str,
+    text: str,
+    stop_words: Sequence[str] = (),
+    only: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Count per (document, term), for all terms or only the listed ones."""
-    return _tokens(df, [doc], text, stop_words, only).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Count per (document, term), for all terms or only the listed ones.
+
+    `keep` carries columns of the document along.
+    """
+    tokens = _tokens(df, [doc, *keep], text, stop_words, only)
+    return tokens.groupBy(doc, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(totals: DataFrame, k: int = 20, by: str = "total") -> DataFrame:
@@ -205,7 +214,12 @@ def vocabulary(df: DataFrame, text: str, max_features: int, stop_words: Sequence
 
 
 def tfidf(
-    df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = (), only: Sequence[str] | None = None
+    df: DataFrame,
+    doc: str,
+    text: str,
+    stop_words: Sequence[str] = (),
+    only: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(doc, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), L2-normed per document.
 
@@ -214,14 +228,14 @@ def tfidf(
     table is broadcast, otherwise partitions of frequent terms are split. The
     norm is a window over one document's distinct terms.
     """
-    counts = doc_terms(df, doc, text, stop_words, only)
+    counts = doc_terms(df, doc, text, stop_words, only, keep)
     n = df.agg(F.count(F.lit(1))).scalar()
     # counting tf > 0 keeps the column, so that the exchange below is shared
     seen = F.sum((F.col("tf") > 0).cast("long"))
     idf = counts.groupBy("term").agg((F.log((1.0 + n) / (1.0 + seen)) + 1.0).alias("_idf"))
-    raw = counts.join(idf, "term").select(doc, "term", "tf", (F.col("tf") * F.col("_idf")).alias("_w"))
+    raw = counts.join(idf, "term").select(doc, *keep, "term", "tf", (F.col("tf") * F.col("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", "tf", (F.col("_w") / norm).alias("weight"))
+    return raw.select(doc, *keep, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf_totals(df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -242,13 +256,9 @@ def tfidf_by_class(
     Documents without a term count 0 in the mean (sum / class size).
     """
     terms = vocabulary(df, text, max_features, stop_words)
-    weights = tfidf(df, doc, text, only=terms)
+    weights = tfidf(df, doc, text, only=terms, keep=[label])
     sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    sums = (
-        weights.join(df.select(doc, label), doc)
-        .groupBy(label, "term")
-        .agg(F.sum("weight").alias("_s"))
-    )
+    sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("_s"))
     cells = sizes.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
     return cells.join(sums, [label, "term"], "left").select(
         label, "term", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("mean_tfidf")

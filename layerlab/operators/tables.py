@@ -161,9 +161,10 @@ def union_splits(
     ]
     union = reduce(lambda a, b: a.unionByName(b), parts)
     sizes = union.groupBy("_ord").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per split, so the offsets are as small as the dict
+    # one row per split, so window and broadcast are as small as the dict
+    earlier = Window.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(
-        running_sums(sizes, "_ord", {"_start": F.col("_n")}).select("_ord", "_start")
+        sizes.select("_ord", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
     placed = dense_positions(union, position, "_at", ["_ord"])
     return (

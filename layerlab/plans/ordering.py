@@ -43,7 +43,7 @@ def running_sums(
     `key` is a long that is unique within the group. All sums share the same
     shuffle of the rows; the digit tables are aggregates.
     """
-    g, outs = list(group), list(values)
+    outs = list(values)
     before = (Window.unboundedPreceding, -1)
     zero = F.lit(0)
 
@@ -51,24 +51,29 @@ def running_sums(
         made = {to: F.sum(c) if window is None else F.sum(c).over(window) for to, c in cols.items()}
         return [c.alias(to) for to, c in made.items()]
 
+    def digit(key_col: Column, level: int) -> Column:
+        return F.shiftright(key_col.cast("long"), level * DIGIT_BITS).alias("d")
+
+    # struct keys: equal also where a group column is null, and the window and
+    # the join below share one partitioning of the rows
     keyed = df.withColumns({f"_v_{o}": c for o, c in values.items()}).withColumn(
-        "_d1", F.shiftright(F.col(key).cast("long"), DIGIT_BITS)
+        "_k1", F.struct(*group, digit(F.col(key), 1))
     )
-    low = keyed.groupBy(*g, "_d1").agg(*sums({f"_s_{o}": f"_v_{o}" for o in outs}))
-    low = low.withColumn("_d2", F.shiftright("_d1", DIGIT_BITS))
-    high = low.groupBy(*g, "_d2").agg(*sums({f"_t_{o}": f"_s_{o}" for o in outs}))
-    w_high = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_d2").rowsBetween(*before)
-    high = high.select(*g, "_d2", *sums({f"_h_{o}": f"_t_{o}" for o in outs}, w_high))
-    w_low = Window.partitionBy(*g, "_d2").orderBy("_d1").rowsBetween(*before)
-    low = low.select(*g, "_d1", "_d2", *sums({f"_l_{o}": f"_s_{o}" for o in outs}, w_low))
-    offsets = null_safe_join(low, high, [*g, "_d2"], "inner").select(
-        *g,
-        "_d1",
+    low = keyed.groupBy("_k1").agg(*sums({f"_s_{o}": f"_v_{o}" for o in outs}))
+    low = low.withColumn("_k2", F.struct(*[F.col(f"_k1.{g}").alias(g) for g in group], digit(F.col("_k1.d"), 1)))
+    high = low.groupBy("_k2").agg(*sums({f"_t_{o}": f"_s_{o}" for o in outs}))
+    whole = F.struct(*[F.col(f"_k2.{g}").alias(g) for g in group], F.lit(0).alias("one"))
+    w_high = Window.partitionBy(whole).orderBy("_k2.d").rowsBetween(*before)
+    high = high.select(F.col("_k2").alias("_j2"), *sums({f"_h_{o}": f"_t_{o}" for o in outs}, w_high))
+    w_low = Window.partitionBy("_k2").orderBy("_k1.d").rowsBetween(*before)
+    low = low.select("_k1", "_k2", *sums({f"_l_{o}": f"_s_{o}" for o in outs}, w_low))
+    offsets = low.join(high, F.col("_k2") == F.col("_j2")).select(
+        F.col("_k1").alias("_j1"),
         *[(F.coalesce(f"_l_{o}", zero) + F.coalesce(f"_h_{o}", zero)).alias(f"_o_{o}") for o in outs],
     )
-    w_row = Window.partitionBy(*g, "_d1").orderBy(key).rowsBetween(*before)
-    inner = keyed.select(*df.columns, "_d1", *sums({f"_i_{o}": f"_v_{o}" for o in outs}, w_row))
-    return null_safe_join(inner, offsets, [*g, "_d1"], "inner").select(
+    w_row = Window.partitionBy("_k1").orderBy(key).rowsBetween(*before)
+    inner = keyed.select(*df.columns, "_k1", *sums({f"_i_{o}": f"_v_{o}" for o in outs}, w_row))
+    return inner.join(offsets, F.col("_k1") == F.col("_j1")).select(
         *df.columns, *[(F.coalesce(f"_i_{o}", zero) + F.col(f"_o_{o}")).alias(o) for o in outs]
     )
 
