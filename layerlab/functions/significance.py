@@ -29,4 +29,5 @@ def student_t_two_sided_p(t: Column, df: int) -> Column:
             coef *= (2 * k) / (2 * k + 1)
             series = series + coef * F.pow(c, F.lit(2.0 * k + 1))
         inside = (theta + s * series) * (2.0 / math.pi)
-    return F.greatest(F.lit(0.0), 1.0 - inside)
+    p = 1.0 - inside
+    return F.when(p < 0, 0.0).otherwise(p)
