@@ -14,6 +14,8 @@ from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
 
 
+MAX_PIVOT = 10_000
+
 
 # ---- distributions -----------------------------------------------------------
 
@@ -94,7 +96,10 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = Non
     """Count per pair as a wide table; absent pairs are null, null keys dropped."""
     pairs = df.na.drop(subset=[row, column]).groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
     if values is None:
-        values = [r[0] for r in pairs.select(column).distinct().orderBy(column).limit(10_000).collect()]
+        found = pairs.select(column).distinct().orderBy(column).limit(MAX_PIVOT + 1).collect()
+        if len(found) > MAX_PIVOT:
+            raise ValueError(f"{column} has more than {MAX_PIVOT} values; use point_counts")
+        values = [r[0] for r in found]
     return pairs.groupBy(row).pivot(column, list(values)).agg(F.sum("_n"))
 
 
@@ -103,9 +108,15 @@ def point_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins from min to max; the last bin is closed."""
+def histogram(df: DataFrame, value: str, bins: int = 30, derived: bool = False) -> DataFrame:
+    """Equal-width bins from min to max; the last bin is closed.
+
+    The values are read twice; `derived=True` writes them once first, for
+    inputs that cost more than a column scan.
+    """
     x = F.col(value).cast("double")
+    if derived:
+        df = via_parquet(df.select(x.alias(value)), "histogram-values")
     span = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     lo, hi = span["lo"], span["hi"]
     width = (hi - lo) / bins
@@ -123,9 +134,8 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
 def density_estimate(df: DataFrame, value: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth.
 
-    Equal values are counted first; each distinct value adds to every grid
-    point inside the partial aggregate, so the shuffle carries `points` rows
-    per task.
+    Each value adds to every grid point inside the partial aggregate, so the
+    shuffle carries `points` rows per task.
     """
     x = F.col(value).cast("double")
     stats = df.agg(
@@ -138,10 +148,10 @@ def density_estimate(df: DataFrame, value: str, points: int = 200, cut: float =
     ).scalar()
     step = (stats["hi"] - stats["lo"] + 2 * cut * stats["bw"]) / (points - 1)
     at = stats["lo"] - cut * stats["bw"] + F.col("point") * step
-    values = df.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    spread = values.select("_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    values = df.filter(x.isNotNull()).select(x.alias("_x"))
+    spread = values.select("_x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     z = (at - F.col("_x")) / stats["bw"]
-    mass = spread.groupBy("point").agg(F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_k"))
+    mass = spread.groupBy("point").agg(F.sum(F.exp(-0.5 * z * z)).alias("_k"))
     norm = stats["n"] * stats["bw"] * F.sqrt(F.lit(2.0) * F.pi())
     return mass.select("point", at.alias("x"), (F.col("_k") / norm).alias("density"))
 

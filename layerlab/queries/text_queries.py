@@ -352,7 +352,7 @@ def t2(spark, d):
 def a23(spark, d):
     docs = corpus(spark, d)
     scores = C.lexicon_sentiment(docs, "doc_id", "text", lexicon(docs))
-    return C.histogram(scores, "compound").select("bin", r6("lower").alias("lower"), r6("upper").alias("upper"), "n")
+    return C.histogram(scores, "compound", derived=True).select("bin", r6("lower").alias("lower"), r6("upper").alias("upper"), "n")
 
 
 @query(

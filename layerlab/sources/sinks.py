@@ -28,16 +28,19 @@ def safe_model_name(model: Column) -> Column:
     return F.replace(model, F.lit("/"), F.lit(""))
 
 
-def write_layer_vectors(df: DataFrame, path: str, partitions: int | None = None, mode: str = "append") -> None:
+def write_layer_vectors(df: DataFrame, path: str, batches_per_file: int = 4096, mode: str = "append") -> None:
     """Long vectors as parquet by model, dataset and layer.
 
-    Rows are range-clustered by batch inside a layer, so a batch filter skips
-    row groups; a directory per batch of 16 samples would not scale.
+    Runs of batches are hashed to tasks and sorted, so a batch filter skips row
+    groups and no task writes to more than a few folders; a directory per batch
+    of 16 samples would not scale. Hashing, unlike range partitioning, does not
+    run the (costly) input a second time for a sample.
     """
-    keys = ["model", "dataset", "layer", "batch_idx"]
+    keys = ["model", "dataset", "layer"]
     named = df.withColumn("model", safe_model_name(F.col("model")))
-    placed = named.repartitionByRange(partitions, *keys) if partitions else named.repartitionByRange(*keys)
-    placed.sortWithinPartitions(*keys).write.mode(mode).partitionBy("model", "dataset", "layer").parquet(path)
+    run = F.floor(F.col("batch_idx") / batches_per_file)
+    placed = named.repartition(*keys, run).sortWithinPartitions(*keys, "batch_idx")
+    placed.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def batch_json(pos: str = "pos", layers: str = "layers") -> Column:
