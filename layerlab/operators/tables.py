@@ -244,11 +244,8 @@ def stratified_split(
     df: DataFrame, key: str, label: str = "label", test: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """random_split within each class; plain random_split if a class has one row."""
-    smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-    if smallest is None or smallest < 2:
-        return random_split(df, key, test, seed)
     k = F.ceil(F.lit(test) * F.col("n"))
-    return _named(smallest_k(df, key, seed, k, "_test", [label]))
+    return _named(smallest_k(df, key, seed, k, "_test", [label], smallest_group=2))
 
 
 def _named(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +60,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     many partitions already and is returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # hashing a hash: later aggregates by the key still exchange, and share it
+    return df.repartition(cores, F.xxhash64(*keys)) if keys else df.repartition(cores)
+
+
+def small_table(df: DataFrame, max_rows: int = INLINE_ROWS) -> pa.Table | None:
+    """The rows of `df` if there are at most `max_rows`; else None.
+
+    At most max_rows + 1 rows are read.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
 
 
 def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:
     """Evaluate a small side now and broadcast it if it has at most `max_rows` rows.
 
-    Reads at most max_rows + 1 rows to the driver. A bigger side is returned
-    unchanged and unhinted, so the join falls back to a shuffle join with
-    adaptive skew handling.
+    A bigger side is returned unchanged and unhinted, so the join falls back to
+    a shuffle join with adaptive skew handling.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
+    rows = small_table(df, max_rows)
+    return df if rows is None else local_side(df, rows)
+
+
+def local_side(df: DataFrame, rows: pa.Table) -> DataFrame:
+    """Rows read by small_table as a broadcast side with the schema of `df`."""
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerlab.plans.materialize import cut_lineage, inline_if_small
+from layerlab.plans.materialize import cut_lineage, inline_if_small, local_side, small_table
 
 DIGIT_BITS = 20
 
@@ -90,28 +90,48 @@ def hash_order(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+def _edge_bins(df: DataFrame, key: str, seed: int | str, k: Column, g: list[str]) -> DataFrame:
+    """Per group: n, the histogram bin that holds the k-th row and its rank in there."""
+    bin_ = F.substring(hash_order(seed, F.col(key)), 1, 4)
+    bins = df.groupBy(*g, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    # at most 65,536 bins per group
+    whole = Window.partitionBy(*(g or [F.lit(0)]))
+    return (
+        bins.withColumn("n", F.sum("_c").over(whole))
+        .withColumn("_upto", F.sum("_c").over(whole.orderBy("_bin")))
+        .withColumn("_need", k - (F.col("_upto") - F.col("_c")))
+        .filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_c")))
+        .select(*g, "n", "_bin", "_need")
+    )
+
+
 def smallest_k(
-    df: DataFrame, key: str, seed: int | str, k: Column, out: str, group: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    seed: int | str,
+    k: Column,
+    out: str,
+    group: Sequence[str] = (),
+    smallest_group: int = 0,
 ) -> DataFrame:
     """Add boolean `out`: row is among the k first of its group in hash order.
 
     `k` is an expression over `n`, the group's row count. The cut (one row per
     group) is computed from (group, key) only, so wide columns are not
-    shuffled when the cut is small enough to broadcast.
+    shuffled when the cut is small enough to broadcast. If a group has fewer
+    than `smallest_group` rows, groups are ignored.
     """
     g = list(group)
+    bins = _edge_bins(df, key, seed, k, g)
+    rows = small_table(bins)
+    if g and smallest_group > 1:
+        least = min(rows["n"].to_pylist(), default=0) if rows is not None else bins.agg(F.min("n")).first()[0]
+        if least < smallest_group:
+            return smallest_k(df, key, seed, k, out)
+    edges = bins if rows is None else local_side(bins, rows)
     keyed = df.select(*g, key).withColumn("_h", hash_order(seed, F.col(key)))
     keyed = keyed.withColumn("_bin", F.substring("_h", 1, 4))
-    bins = keyed.groupBy(*g, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*(g or [F.lit(0)]))
-    bins = (
-        bins.withColumn("n", F.sum("_c").over(whole))
-        .withColumn("_upto", F.sum("_c").over(whole.orderBy("_bin")))
-        .withColumn("_need", k - (F.col("_upto") - F.col("_c")))
-        .filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_c")))
-        .select(*g, "_bin", "_need")
-    )
-    edge = null_safe_join(keyed, inline_if_small(bins), [*g, "_bin"], "inner")
+    edge = null_safe_join(keyed, edges.drop("n"), [*g, "_bin"], "inner")
     ranked = edge.withColumn(
         "_rn",
         F.row_number().over(Window.partitionBy(*g, "_bin").orderBy("_h", key)),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from layerlab.operators import evaluation as E
 from layerlab.operators import layer_stats as S
+from layerlab.operators.tables import apply_split
 from layerlab.plans import probes as P
+from layerlab.plans.analysis import analyze_layers
 from layerlab.plans.encode import HashEncoder, encode_layers
 from layerlab.queries.base import (
     LONG_SPLIT_SQL,
@@ -21,18 +23,14 @@ from layerlab.queries.base import (
     split_of,
     split_vectors,
 )
-from layerlab.operators.tables import apply_split
 
 SUMMARY = ["train_accuracy", "test_accuracy", "test_macro_f1", "test_weighted_f1", "silhouette_score"]
 
 
 def layer_summary(spark: SparkSession, sf_dir: str, max_iter: int = 50) -> DataFrame:
     """Split, standardise, logistic regression per layer, metrics, silhouette."""
-    data = P.ProbeData(split_vectors(spark, sf_dir))
-    predicted, _ = P.probe_logistic(data, max_iter)
-    counts = E.confusion_counts(predicted, ["layer", "split"])
-    silhouette = S.silhouette_exact(data.table.filter("split = 'test'"), ["layer"])
-    return E.summary_table(counts, silhouette)
+    analysis, _ = analyze_layers(split_vectors(spark, sf_dir), max_iter=max_iter)
+    return analysis.summary
 
 
 @query("m2_layer_probe_logistic")
@@ -43,7 +41,7 @@ def m2(spark, d):
 
 @query("m3_layer_probe_ovr")
 def m3(spark, d):
-    predicted, failures = P.probe_one_vs_rest(P.ProbeData(split_vectors(spark, d)), 10)
+    predicted, failures = P.probe_one_vs_rest(P.ProbeData(split_vectors(spark, d), scale=False), 10)
     return P.layer_accuracies(predicted, failures)
 
 
@@ -81,7 +79,9 @@ def m8(spark, d):
         for e in (5, 15)
         for loss in ("ce", "hinge")
     ]
-    return P.tune(P.ProbeData(split_vectors(spark, d)), 0, grid).select("trial_id", "accuracy", "status")
+    return P.tune(P.ProbeData(split_vectors(spark, d)), 0, grid).select(
+        "trial_id", F.col("metrics")["accuracy"].alias("accuracy"), "status"
+    )
 
 
 @query("m13_project_2d")

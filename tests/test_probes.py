@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from layerlab.operators import evaluation as E
 from layerlab.operators.tables import skip_done_batches, stratified_split
 from layerlab.plans import probes as P
+from layerlab.plans.analysis import LayerAnalysis, analyze_layers, labelled_vectors
 from layerlab.plans.encode import HashEncoder, encode_layers
 
 
@@ -73,7 +74,9 @@ def test_tune_records_failures(data):
     grid = [{"hidden_layers": [], "epochs": 10}, {"hidden_layers": [8], "epochs": 10}, {"loss_function": "hinge"}]
     trials = {r.trial_id: r for r in P.tune(data, 1, grid).collect()}
     assert [trials[i].status for i in range(3)] == ["done", "done", "failed"]
-    assert trials[0].accuracy > 0.9 and trials[2].accuracy is None
+    assert trials[0].metrics["accuracy"] > 0.9 and trials[2].metrics is None
+    multi = {r.trial_id: r for r in P.tune(data, 1, [{"epochs": 10}, {"hidden_layers": [8]}], "labels", 4).collect()}
+    assert multi[0].metrics["hamming_loss"] < 0.1 and multi[1].status == "failed"
 
 
 def test_projection(data):
@@ -93,3 +96,32 @@ def test_encoder_resumes_and_pools(spark):
     np.testing.assert_allclose(last.vec, want[0, 1, -1, :])
     done = df.filter("batch_idx < 2")
     assert encode_layers(skip_done_batches(df, 0, done), make).select("sample_id").distinct().count() == 2
+
+
+def test_analysis_saves_and_loads(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    names = ["joy", "anger", "fear"]
+    labels = [(i, names[i % 3]) for i in range(90)] + [(500, "joy"), (501, None)]
+    vectors = [
+        (i, k, list(map(float, rng.normal(0, 1, 3) + 5 * k * np.eye(3)[i % 3])))
+        for i in range(90)
+        for k in (0, 1, 7)
+    ]
+    v = spark.createDataFrame(vectors, "sample_id long, layer int, vec array<double>")
+    lab = spark.createDataFrame(labels, "sample_id long, emotion string")
+    with pytest.raises(ValueError, match="3"):
+        labelled_vectors(v, lab, "emotion", [0, 3])
+    rows = labelled_vectors(v, lab, "emotion", [0, 1])
+    codes = {(r.sample_id % 3, r.label) for r in rows.collect()}
+    assert codes == {(0, 2), (1, 0), (2, 1)}  # joy, anger, fear by alphabet
+    analysis, failures = analyze_layers(rows, max_iter=20)
+    assert not failures
+    analysis.save(str(tmp_path / "run"))
+    again = LayerAnalysis.load(spark, str(tmp_path / "run"))
+    summary = {r.layer: r for r in again.summary.collect()}
+    assert set(summary) == {0, 1} and summary[1].test_accuracy == 1.0
+    assert summary[1].silhouette_score > summary[0].silhouette_score
+    assert again.confusion.filter("layer = 1 AND split = 'test'").agg(F.sum("n")).first()[0] == 18
+    assert again.similarities.count() == 2 * 2 * 3
+    squared, _ = analyze_layers(rows, max_iter=5, squared=True)
+    assert squared.silhouettes.count() == 4

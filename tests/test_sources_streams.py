@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerlab.functions.fixed_values import SURVEY_FIELDS
+from layerlab.plans import corpora as corpora_plan
 from layerlab.sources import corpora, layer_files, sinks
 from layerlab.streaming import layer_streams
 
@@ -125,3 +126,30 @@ def test_stream_stats_stay_current(spark, tmp_path):
     layer_streams.stream_layer_stats(stream(), table, state)
     r = spark.read.parquet(table).first()
     assert (r.n_values, r.value_mean, r.value_max) == (4, 4.0, 7.0)
+
+
+def test_corpora_end_to_end(spark, tmp_path):
+    paths = []
+    for name, lines in (
+        ("train", ["So HAPPY :),[17],a", "So HAPPY :),[17],a", "no..,[3 2],b"]),
+        ("test", ["no..,[3 2],b", "x = y!,[],c"]),
+        ("validation", [",[27],d"]),
+    ):
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join(["text,labels,id", *lines]) + "\n")
+        paths.append(str(path))
+    got = corpora_plan.labelled_corpus(spark, *paths).orderBy("row_id").collect()
+    assert [(r.row_id, r.split, r.clean_text, r.labels) for r in got] == [
+        (0, "train", "so happy happy", "[17]"),
+        (2, "train", "no..", "[3 2]"),
+        (4, "test", "x equal y!", "[]"),
+        (5, "validation", "", "[27]"),
+    ]
+    classes = corpora_plan.labelled_classes(spark, *paths).orderBy("row_id").collect()
+    assert [r.dominant_emotion for r in classes] == ["joy", "anger", "admiration", "neutral"]
+    assert [r.annoyance for r in classes] == [0, 1, 0, 0]
+    row = "|".join({"EMOT": "2", "SIT": "I was, like :( scared!"}.get(f, "1") for f in SURVEY_FIELDS) + "|"
+    survey = tmp_path / "survey.csv"
+    survey.write_text("|".join(SURVEY_FIELDS) + "|\n" + row + "\n" + row + "\n")
+    got = corpora_plan.survey_corpus(spark, str(survey)).collect()
+    assert [(r.clean_text, r.labels) for r in got] == [("i was like sad scared", 2)]
