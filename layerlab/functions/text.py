@@ -52,24 +52,51 @@ def emoji_names_by_rule() -> dict[str, str]:
     return names
 
 
+def _ranges(codes: set[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for code in sorted(codes):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return [(a, b) for a, b in out]
+
+
+def _gaps(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    gaps, start = [], 0
+    for lo, hi in sorted(ranges):
+        if lo > start:
+            gaps.append((start, lo - 1))
+        start = hi + 1
+    return [*gaps, (start, 0x10FFFF)]
+
+
+def _char_class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def emoji_to_name(text: Column, names: dict[str, str], separate: bool = False) -> Column:
     """Replace each symbol by `:name:`, longest key first; other text is kept.
 
+    Texts without a character in the symbols' code range are passed through.
     `separate=True` puts blanks round each name, so that neighbours stay apart
     when a cleaner drops the colons.
     """
-    keys = sorted(names, key=lambda k: (-len(k), k))
-    heads = "".join(sorted({re.escape(k[0]) for k in keys}))
-    pattern = f"((?:{'|'.join(re.escape(k) for k in keys)})|[^{heads}]+|[{heads}])"
+    heads = _ranges({ord(k[0]) for k in names})
+    head = _char_class(heads)
+    long_keys = sorted((k for k in names if len(k) > 1), key=lambda k: (-len(k), k))
+    parts = [_char_class(_gaps(heads)) + "+", *[re.escape(k) for k in long_keys], head]
+    pieces = F.regexp_extract_all(text, F.lit(f"({'|'.join(parts)})"))
     blank = " " if separate else ""
     lookup = F.create_map(
-        *[F.lit(x) for k in keys for x in (k, f"{blank}:{names[k]}:{blank}")]
+        *[F.lit(x) for k, v in sorted(names.items()) for x in (k, f"{blank}:{v}:{blank}")]
     )
-    pieces = F.regexp_extract_all(text, F.lit(pattern))
-    named = F.array_join(
-        F.transform(pieces, lambda p: F.coalesce(F.element_at(lookup, p), p)), ""
+    named = F.transform(
+        pieces,
+        lambda p: F.when(p.rlike("^" + head), F.coalesce(F.element_at(lookup, p), p)).otherwise(p),
     )
-    return F.when(text.rlike(f"[{heads}]"), named).otherwise(text)
+    around = _char_class([(heads[0][0], heads[-1][1])])
+    return F.when(text.rlike(around), F.array_join(named, "")).otherwise(text)
 
 
 def outside_class(keep: str) -> str:
@@ -79,13 +106,7 @@ def outside_class(keep: str) -> str:
     and stop scaling over the threads of one executor.
     """
     ranges = [(48, 57), (65, 90), (97, 122), *BLANK_RANGES, *((ord(c), ord(c)) for c in keep)]
-    gaps, start = [], 0
-    for lo, hi in sorted(ranges):
-        if lo > start:
-            gaps.append((start, lo - 1))
-        start = hi + 1
-    gaps.append((start, 0x10FFFF))
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in gaps) + "]"
+    return _char_class(_gaps(ranges))
 
 
 def _clean(

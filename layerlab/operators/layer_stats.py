@@ -88,21 +88,12 @@ def layer_value_median(
     return exact_quantiles(values, keys, "_value", [0.5], ["value_median"], exact_rows)
 
 
-def file_global_stats(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Per batch file: count, min, max, mean, population std, median of all values.
-
-    The exact median buffers one file's distinct values, which the fixed batch
-    size bounds; for unbounded keys use layer_value_median.
-    """
-    values = df.select(*keys, F.explode(V.doubles(F.col(vec))).alias("_x"))
-    return values.groupBy(*keys).agg(
-        F.count("_x").alias("n_values"),
-        F.min("_x").alias("value_min"),
-        F.max("_x").alias("value_max"),
-        F.avg("_x").alias("value_mean"),
-        F.stddev_pop("_x").alias("value_std"),
-        F.median("_x").alias("value_median"),
-    )
+def file_global_stats(
+    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 2_000_000
+) -> DataFrame:
+    """Per batch file: count, min, max, mean, population std, median of all values."""
+    moments = layer_value_stats(df, keys, vec).drop("dimension")
+    return null_safe_join(moments, layer_value_median(df, keys, vec, exact_rows), list(keys), "inner")
 
 
 def aggregate_file_stats(files: DataFrame, keys: Sequence[str] = (), n: str = "n_samples") -> DataFrame:

@@ -139,13 +139,13 @@ def smallest_k(
     cut = ranked.filter(F.col("_rn") == F.col("_need")).select(
         *g, F.col("_h").alias("_cut_h"), F.col(key).alias("_cut_k")
     )
-    small = inline_if_small(cut)
     if g:
-        joined = null_safe_join(df, small, g, "left")
+        joined = null_safe_join(df, inline_if_small(cut), g, "left")
     else:
-        joined = df.withColumn("_one", F.lit(0)).join(
-            F.broadcast(small.withColumn("_one", F.lit(0))), "_one", "left"
-        ).drop("_one")
+        row = cut.first()
+        joined = df.withColumn("_cut_h", F.lit(row[0] if row else None)).withColumn(
+            "_cut_k", F.lit(row[1] if row else None)
+        )
     h = hash_order(seed, F.col(key))
     inside = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_k")))
     return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_cut_h", "_cut_k")
@@ -189,17 +189,27 @@ def exact_quantiles(
         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"),
     )
     targets = cut_lineage(targets)
+
+    def near(wanted: DataFrame) -> DataFrame:
+        """Values inside the range of a target, with the target's columns."""
+        if g:
+            side = null_safe_join(data, inline_if_small(wanted), g, "inner")
+            return side.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        # without groups there are two targets per quantile
+        fields = wanted.columns
+        items = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, r, strict=True)]) for r in wanted.collect()]
+        if not items:
+            return data.limit(0).select("_x", *[F.lit(None).cast(t).alias(f) for f, t in wanted.dtypes])
+        hit = F.filter(F.array(*items), lambda t: F.col("_x").between(t["_lo"], t["_hi"]))
+        return data.select("_x", F.inline(hit))
+
     rounds = math.ceil(64 / math.log2(bins)) + 2
     tkey = [*g, "_q", "_side"]
     for _ in range(rounds):
         left = targets.filter((F.col("_cnt") > exact_rows) & (F.col("_lo") < F.col("_hi")))
         if left.limit(1).count() == 0:
             break
-        inside = null_safe_join(data, inline_if_small(targets), g, "inner").filter(
-            F.col("_x").between(F.col("_lo"), F.col("_hi"))
-        ) if g else data.withColumn("_one", F.lit(0)).join(
-            F.broadcast(targets.withColumn("_one", F.lit(0))), "_one"
-        ).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        inside = near(targets)
         width = (F.col("_hi") - F.col("_lo")) / bins
         slot = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
         counted = inside.groupBy(*tkey, "_rank", "_below", slot.alias("_slot")).agg(
@@ -214,13 +224,7 @@ def exact_quantiles(
         )
     done = targets.filter(F.col("_lo") == F.col("_hi")).select(*tkey, F.col("_lo").alias("_x"))
     rest = targets.filter(F.col("_lo") < F.col("_hi"))
-    if g:
-        cand = null_safe_join(data, inline_if_small(rest), g, "inner")
-    else:
-        cand = data.withColumn("_one", F.lit(0)).join(
-            F.broadcast(rest.withColumn("_one", F.lit(0))), "_one"
-        ).drop("_one")
-    cand = cand.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    cand = near(rest)
     # equal values are counted first, so the window sees distinct values only
     cand = cand.groupBy(*tkey, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*tkey).orderBy("_x")) + F.col("_below")
@@ -230,13 +234,14 @@ def exact_quantiles(
         .select(*tkey, "_x")
     )
     picked = done.unionByName(found)
+    if g:
+        picked = null_safe_join(picked, stats.select(*g, "_n"), g, "inner")
+    else:
+        picked = picked.withColumn("_n", F.lit(stats.first()["_n"]))
     cols = []
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
         lo = F.max(F.when((F.col("_q") == i) & (F.col("_side") == 0), F.col("_x")))
         hi = F.max(F.when((F.col("_q") == i) & (F.col("_side") == 1), F.col("_x")))
         pos = (F.max("_n") - 1) * F.lit(float(p))
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    if g:
-        return null_safe_join(picked, stats.select(*g, "_n"), g, "inner").groupBy(*g).agg(*cols)
-    n_row = stats.select("_n").withColumn("_one", F.lit(0))
-    return picked.withColumn("_one", F.lit(0)).join(F.broadcast(n_row), "_one").agg(*cols)
+    return picked.groupBy(*g).agg(*cols)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +75,18 @@ def m7(spark, d):
 
 @query("m8_tune")
 def m8(spark, d):
-    grid = [
-        {"hidden_layers": h, "epochs": e, "loss_function": loss}
-        for h in ([], [16])
-        for e in (5, 15)
-        for loss in ("ce", "hinge")
-    ]
-    return P.tune(P.ProbeData(split_vectors(spark, d)), 0, grid).select(
-        "trial_id", F.col("metrics")["accuracy"].alias("accuracy"), "status"
+    """A small grid on every layer."""
+    grid = [{"hidden_layers": h, "epochs": 10, "loss_function": loss} for h in ([], [16]) for loss in ("ce", "hinge")]
+    data = P.ProbeData(split_vectors(spark, d))
+    trials = [P.tune(data, layer, grid).withColumn("layer", F.lit(layer)) for layer in data.layers]
+    return reduce(DataFrame.unionByName, trials).select(
+        "layer", "trial_id", F.col("metrics")["accuracy"].alias("accuracy"), "status"
     )
 
 
 @query("m13_project_2d")
 def m13(spark, d):
-    return P.project_2d(split_vectors(spark, d), 0, "train")
+    return P.project_2d(split_vectors(spark, d))
 
 
 _FEATURE = "('0x' || substr(md5(concat(layer, ':0:', i, ':', md5(text))), 1, 8))::BIGINT / 4294967296.0::DOUBLE"

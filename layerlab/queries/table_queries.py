@@ -136,14 +136,15 @@ def p10(spark, d):
 @query(
     "p11_guard_min_rows",
     """WITH a AS (SELECT source AS dataset, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1),
-    b AS (SELECT source AS dataset, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1),
+    b AS (SELECT source AS dataset, count(*) AS n FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1),
     j AS (SELECT dataset, coalesce(a.n, 0) AS n_labels, coalesce(b.n, 0) AS n_vectors FROM a FULL JOIN b USING (dataset))
     SELECT dataset, n_labels, n_vectors, CASE WHEN least(n_labels, n_vectors) = 0 THEN 'empty'
       WHEN least(n_labels, n_vectors) < 10 THEN 'insufficient' ELSE 'run' END AS status FROM j""",
 )
 def p11(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("source", "dataset")
-    return TB.guard_min_rows(docs.join(table(spark, d, "labels"), "doc_id"), docs.filter("lang = 'de'"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return TB.guard_min_rows(docs.join(table(spark, d, "labels"), "doc_id"), docs.join(vectors, "doc_id"))
 
 
 @query(

@@ -80,8 +80,10 @@ def test_tune_records_failures(data):
 
 
 def test_projection(data):
-    out = P.project_2d(data.table, 1, "train", n=50)
-    assert out.count() == 50 and set(out.columns) >= {"x", "y", "label"}
+    out = P.project_2d(data.table, n=50).toPandas()
+    sizes = out.groupby(["layer", "split"]).size()
+    assert dict(sizes) == {(k, s): n for k in (0, 1) for s, n in (("train", 50), ("test", 30))}
+    assert out.x.var() > out.y.var() > 0
 
 
 def test_encoder_resumes_and_pools(spark):
