@@ -156,7 +156,7 @@ def density_estimate(df: DataFrame, value: str, points: int = 200, cut: float =
     return mass.select("point", at.alias("x"), (F.col("_k") / norm).alias("density"))
 
 
-def box_stats(df: DataFrame, group: str, value: str, exact_rows: int = 2_000_000) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, exact_rows: int = 200_000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers inside the data, outliers per group."""
     x = F.col(value).cast("double")
     # read several times below: two narrow columns are cheaper to write than to derive again

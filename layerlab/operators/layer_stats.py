@@ -7,20 +7,22 @@ over whole vectors, so values are never exploded and shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerlab.functions import vectors as V
-from layerlab.plans.materialize import inline_if_small
+from layerlab.plans.materialize import inline_if_small, small_table
 from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
 VECTOR_TABLE_ROWS = 512
+CENTROID_ROWS = 2048
 
 
 def _moments(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
@@ -44,44 +46,24 @@ def _moments(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
 
 
 def layer_value_stats(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Per key: dimension, count, mean, population std, min, max over all values."""
-    by_dim = _moments(df, keys, vec)
-    total = F.aggregate("mean", F.lit(0.0), lambda a, m: a + m)
-    centre = total / F.col("dim")
-    spread = F.aggregate(
-        F.zip_with(
-            "m2",
-            "mean",
-            lambda s, m: s + F.col("n") * (m - F.col("_c")) * (m - F.col("_c")),
-        ),
-        F.lit(0.0),
-        lambda a, v: a + v,
-    )
-    parts = by_dim.withColumn("_c", centre).select(
-        *keys,
-        "dim",
-        (F.col("n") * F.col("dim")).alias("_n"),
-        "_c",
-        spread.alias("_m2"),
-        F.array_min("lo").alias("_lo"),
-        F.array_max("hi").alias("_hi"),
-    )
-    n = F.sum("_n")
-    mean = F.sum(F.col("_n") * F.col("_c")) / n
-    # between-length part of the spread; zero when all vectors have one length
-    between = F.sum(F.col("_n") * F.col("_c") * F.col("_c")) - n * mean * mean
-    return parts.groupBy(*keys).agg(
-        F.max("dim").alias("dimension"),
-        n.cast("long").alias("n_values"),
-        mean.alias("value_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("_m2") + F.when(F.count(F.lit(1)) > 1, between).otherwise(0.0)) / n).alias("value_std"),
-        F.min("_lo").alias("value_min"),
-        F.max("_hi").alias("value_max"),
+    """Per key: dimension, count, mean, population std, min, max over all values.
+
+    Generated code explodes and aggregates in one stage, so only one row per
+    key and task is shuffled; vectors may differ in length.
+    """
+    values = df.select(*keys, F.posexplode(V.doubles(F.col(vec))).alias("_i", "_x"))
+    return values.groupBy(*keys).agg(
+        (F.max("_i") + 1).alias("dimension"),
+        F.count("_x").alias("n_values"),
+        F.avg("_x").alias("value_mean"),
+        F.stddev_pop("_x").alias("value_std"),
+        F.min("_x").alias("value_min"),
+        F.max("_x").alias("value_max"),
     )
 
 
 def layer_value_median(
-    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 2_000_000
+    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 200_000
 ) -> DataFrame:
     """Exact median over all values of each key."""
     values = df.select(*keys, F.explode(V.doubles(F.col(vec))).alias("_value"))
@@ -89,7 +71,7 @@ def layer_value_median(
 
 
 def file_global_stats(
-    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 2_000_000
+    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 200_000
 ) -> DataFrame:
     """Per batch file: count, min, max, mean, population std, median of all values."""
     moments = layer_value_stats(df, keys, vec).drop("dimension")
@@ -303,43 +285,81 @@ def squared_silhouette(
     """Silhouette with squared Euclidean distance, linear in the rows.
 
     The mean squared distance from x to a class is |x|^2 + mean|y|^2 - 2 x.c,
-    so each row needs only its key's centroids (classes x dimensions, one array
-    per key).
+    so each row needs only its key's centroids. They go to the tasks as one
+    matrix per key (numpy on Arrow batches) when there are few enough, and are
+    joined to the rows otherwise.
     """
-    dense = df.withColumn(vec, V.doubles(F.col(vec)))
-    sq = F.aggregate(F.col(vec), F.lit(0.0), lambda a, v: a + v * v)
-    per_class = _moments(dense, [*keys, label], vec).select(
+    dense = df.select(*keys, F.col(label).cast("int").alias("_label"), V.doubles(F.col(vec)).alias("_vec"))
+    classes = _moments(dense, [*keys, "_label"], "_vec").select(
         *keys,
-        F.struct(
-            F.col(label).alias("c"),
-            F.col("n").alias("n"),
-            F.col("mean").alias("m"),
-            # mean |y|^2 = sum over dimensions of mean^2 + m2 / n
-            F.aggregate(
-                F.zip_with("mean", "m2", lambda m, s: m * m + s / F.col("n")),
-                F.lit(0.0),
-                lambda a, v: a + v,
-            ).alias("q"),
-        ).alias("_class"),
-    )
-    table = inline_if_small(
-        per_class.groupBy(*keys).agg(F.collect_list("_class").alias("_classes")), VECTOR_TABLE_ROWS
+        F.col("_label").alias("c"),
+        "n",
+        F.col("mean").alias("m"),
+        # mean |y|^2 = sum over dimensions of mean^2 + m2 / n
+        F.aggregate(
+            F.zip_with("mean", "m2", lambda m, s: m * m + s / F.col("n")), F.lit(0.0), lambda a, v: a + v
+        ).alias("q"),
     )
-    joined = null_safe_join(dense, table, list(keys), "inner").withColumn("_sq", sq)
+    rows = small_table(classes, CENTROID_ROWS)
+    if rows is None:
+        return _silhouette_from_means(_class_means_joined(dense, classes, keys), keys)
+    return _silhouette_from_means(_class_means_arrow(dense, rows, keys), keys)
+
+
+def _class_means_arrow(dense: DataFrame, centroids: pa.Table, keys: Sequence[str]) -> DataFrame:
+    """(keys, _a, _b): mean squared distance to the own and the nearest other class."""
+    key_names = list(keys)
+    groups: dict[tuple, dict[str, np.ndarray]] = {}
+    for row in centroids.to_pylist():
+        at = groups.setdefault(tuple(row[k] for k in key_names), {"c": [], "n": [], "m": [], "q": []})
+        for f in at:
+            at[f].append(row[f])
+    groups = {k: {f: np.asarray(v, dtype=float) for f, v in g.items()} for k, g in groups.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[pdf[k] for k in key_names], strict=True) if key_names else [()] * len(pdf)):
+                at.setdefault(key, []).append(i)
+            for key, index in at.items():
+                part = pdf.iloc[index]
+                # pandas shows a null key as NaN
+                g = groups[tuple(None if v != v else v for v in key)]
+                x = np.stack(part["_vec"].to_numpy())
+                sq = np.einsum("ij,ij->i", x, x)[:, None] + g["q"][None, :] - 2.0 * (x @ g["m"].T)
+                own = part["_label"].to_numpy()[:, None] == g["c"][None, :]
+                n = np.where(own, g["n"][None, :], 0.0).sum(axis=1)
+                mine = np.where(own, sq, 0.0).sum(axis=1)
+                out = part[key_names].copy()
+                out["_a"] = np.where(n > 1, mine * n / np.maximum(n - 1, 1), np.nan)
+                other = np.where(own, np.inf, sq).min(axis=1)
+                out["_b"] = np.where(np.isinf(other), np.nan, other)
+                yield out
+
+    types = dict(dense.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in key_names], "_a double", "_b double"])
+    means = dense.filter(F.size("_vec") > 0).mapInPandas(run, schema)
+    return means.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("_a", "_b")})
+
+
+def _class_means_joined(dense: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same by a join with one array of centroids per key."""
+    table = classes.groupBy(*keys).agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("_classes"))
+    sq = F.aggregate("_vec", F.lit(0.0), lambda a, v: a + v * v)
+    joined = null_safe_join(dense.filter(F.size("_vec") > 0), table, list(keys), "inner").withColumn("_sq", sq)
 
     def mean_sq(c: Column) -> Column:
-        return F.col("_sq") + c["q"] - 2.0 * V.dot(F.col(vec), c["m"])
+        return F.col("_sq") + c["q"] - 2.0 * V.dot(F.col("_vec"), c["m"])
 
-    own = F.filter("_classes", lambda c: c["c"] == F.col(label))
-    others = F.filter("_classes", lambda c: c["c"] != F.col(label))
-    per_row = joined.select(
+    own = F.filter("_classes", lambda c: c["c"] == F.col("_label"))
+    others = F.filter("_classes", lambda c: c["c"] != F.col("_label"))
+    return joined.select(
         *keys,
         F.get(
             F.transform(own, lambda c: F.when(c["n"] > 1, mean_sq(c) * c["n"] / (c["n"] - 1))), F.lit(0)
         ).alias("_a"),
         F.array_min(F.transform(others, mean_sq)).alias("_b"),
     )
-    return _silhouette_from_means(per_row, keys)
 
 
 def structure_audit(

@@ -4,7 +4,7 @@
   splitting the key into 20-bit digits; each window partition holds at most
   2^20 keys (2^23 digits at the top), whatever the size of the table or group.
 * `smallest_k`: the exact k smallest rows per group by a hash order, found from
-  a 65,536-bin histogram; only the rows of the boundary bin are ever sorted.
+  a 4,096-bin histogram; only the rows of the boundary bin are ever sorted.
 * `exact_quantiles`: order statistics by narrowing value ranges.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from layerlab.plans.materialize import cut_lineage, inline_if_small, local_side, small_table
 
 DIGIT_BITS = 20
+# hex digits of the hash histogram: 4,096 bins per group, of which one is sorted
+HASH_DIGITS = 3
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -92,9 +94,9 @@ def hash_order(seed: int | str, key: Column) -> Column:
 
 def _edge_bins(df: DataFrame, key: str, seed: int | str, k: Column, g: list[str]) -> DataFrame:
     """Per group: n, the histogram bin that holds the k-th row and its rank in there."""
-    bin_ = F.substring(hash_order(seed, F.col(key)), 1, 4)
+    bin_ = F.substring(hash_order(seed, F.col(key)), 1, HASH_DIGITS)
     bins = df.groupBy(*g, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    # at most 65,536 bins per group
+    # at most 4,096 bins per group
     whole = Window.partitionBy(*(g or [F.lit(0)]))
     return (
         bins.withColumn("n", F.sum("_c").over(whole))
@@ -130,7 +132,7 @@ def smallest_k(
             return smallest_k(df, key, seed, k, out)
     edges = bins if rows is None else local_side(bins, rows)
     keyed = df.select(*g, key).withColumn("_h", hash_order(seed, F.col(key)))
-    keyed = keyed.withColumn("_bin", F.substring("_h", 1, 4))
+    keyed = keyed.withColumn("_bin", F.substring("_h", 1, HASH_DIGITS))
     edge = null_safe_join(keyed, edges.drop("n"), [*g, "_bin"], "inner")
     ranked = edge.withColumn(
         "_rn",
@@ -157,7 +159,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    exact_rows: int = 2_000_000,
+    exact_rows: int = 200_000,
     bins: int = 4096,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group.
@@ -205,20 +207,44 @@ def exact_quantiles(
 
     rounds = math.ceil(64 / math.log2(bins)) + 2
     tkey = [*g, "_q", "_side"]
+    slot_width = (F.col("_hi") - F.col("_lo")) / bins
+    slot = F.when(
+        slot_width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / slot_width), F.lit(bins - 1))
+    ).otherwise(F.lit(0))
+    found_here = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_cnt"))
+
+    # first round: one histogram per group serves all targets
+    if g:
+        spanned = null_safe_join(data, inline_if_small(stats.drop("_n")), g, "inner")
+    else:
+        row = stats.first()
+        spanned = data.withColumn("_lo", F.lit(row["_lo"])).withColumn("_hi", F.lit(row["_hi"]))
+    hist = spanned.groupBy(*g, slot.alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    )
+    whole = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_slot")
+    hist = hist.withColumn("_upto", F.sum("_cnt").over(whole))
+    wanted = targets.select(*tkey, "_rank")
+    if g:
+        placed = null_safe_join(hist, inline_if_small(wanted), g, "inner").filter(found_here)
+    else:
+        items = [F.struct(*[F.lit(v).alias(f) for f, v in r.asDict().items()]) for r in wanted.collect()]
+        placed = hist.select("*", F.inline(F.array(*items))).filter(found_here)
+    targets = cut_lineage(
+        placed.select(*g, "_lo", "_hi", "_q", "_side", "_rank", (F.col("_upto") - F.col("_cnt")).alias("_below"), "_cnt")
+    )
     for _ in range(rounds):
         left = targets.filter((F.col("_cnt") > exact_rows) & (F.col("_lo") < F.col("_hi")))
         if left.limit(1).count() == 0:
             break
         inside = near(targets)
-        width = (F.col("_hi") - F.col("_lo")) / bins
-        slot = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
         counted = inside.groupBy(*tkey, "_rank", "_below", slot.alias("_slot")).agg(
             F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
         )
         upto = F.sum("_cnt").over(Window.partitionBy(*tkey).orderBy("_slot"))
         targets = cut_lineage(
             counted.withColumn("_upto", upto + F.col("_below"))
-            .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_cnt")))
+            .filter(found_here)
             .withColumn("_below", F.col("_upto") - F.col("_cnt"))
             .select(*g, "_lo", "_hi", "_q", "_side", "_rank", "_below", "_cnt")
         )

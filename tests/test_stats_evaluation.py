@@ -35,6 +35,13 @@ def silhouette(dist, label):
     return np.mean(scores)
 
 
+def _dense_and_classes(df):
+    dense = df.select("layer", F.col("label").alias("_label"), F.col("vec").alias("_vec"))
+    m = S._moments(dense, ["layer", "_label"], "_vec")
+    q = F.aggregate(F.zip_with("mean", "m2", lambda a, b: a * a + b / F.col("n")), F.lit(0.0), lambda a, v: a + v)
+    return dense, m.select("layer", F.col("_label").alias("c"), "n", F.col("mean").alias("m"), q.alias("q"))
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_silhouettes(spark, points, block_rows):
     vec, label = points
@@ -45,6 +52,8 @@ def test_silhouettes(spark, points, block_rows):
     assert -1 <= exact <= 1
     scalable = S.squared_silhouette(df, ["layer"]).first().silhouette
     assert scalable == pytest.approx(silhouette(sq, label), abs=1e-8)
+    joined = S._class_means_joined(*_dense_and_classes(df), ["layer"])
+    assert S._silhouette_from_means(joined, ["layer"]).first().silhouette == pytest.approx(scalable, abs=1e-8)
     dist = S.class_distances(df, ["layer"], block_rows=block_rows)
     assert dist.count() == 120 * len(set(label))
     assert dist.agg(F.sum("dist_n")).first()[0] == 120 * 120
