@@ -319,12 +319,13 @@ def _class_means_arrow(dense: DataFrame, centroids: pa.Table, keys: Sequence[str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*[pdf[k] for k in key_names], strict=True) if key_names else [()] * len(pdf)):
+            # pandas shows a null key as NaN
+            columns = [[None if v != v else v for v in pdf[k]] for k in key_names]
+            for i, key in enumerate(zip(*columns, strict=True) if columns else [()] * len(pdf)):
                 at.setdefault(key, []).append(i)
             for key, index in at.items():
                 part = pdf.iloc[index]
-                # pandas shows a null key as NaN
-                g = groups[tuple(None if v != v else v for v in key)]
+                g = groups[key]
                 x = np.stack(part["_vec"].to_numpy())
                 sq = np.einsum("ij,ij->i", x, x)[:, None] + g["q"][None, :] - 2.0 * (x @ g["m"].T)
                 own = part["_label"].to_numpy()[:, None] == g["c"][None, :]

@@ -12,6 +12,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 INLINE_ROWS = 10_000
 
@@ -69,10 +70,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def small_table(df: DataFrame, max_rows: int = INLINE_ROWS) -> pa.Table | None:
     """The rows of `df` if there are at most `max_rows`; else None.
 
-    At most max_rows + 1 rows are read.
+    Rows are taken partition by partition until there are max_rows + 1, so a
+    big side costs no more than that.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    return rows if rows.num_rows <= max_rows else None
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
 
 
 def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:

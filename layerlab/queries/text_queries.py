@@ -10,6 +10,7 @@ from layerlab.functions.fixed_values import BLANKS, EMOTICONS, EMOTICONS_SHORT,
 from layerlab.operators import corpus_stats as C
 from layerlab.operators import experiments as X2
 from layerlab.operators.tables import encode_labels, decode_labels
+from layerlab.plans.materialize import spread
 from layerlab.queries.base import (
     LABELLED_SQL,
     STOP_WORDS,
@@ -385,5 +386,6 @@ def a24(spark, d):
     FROM g, v GROUP BY point, gx, bw, n""",
 )
 def a32(spark, d):
-    out = C.density_estimate(table(spark, d, "lineitem"), "l_extendedprice", 50)
+    prices = spread(table(spark, d, "lineitem").select("l_extendedprice"), "l_extendedprice")
+    out = C.density_estimate(prices, "l_extendedprice", 50)
     return out.select("point", r6("x", 4).alias("x"), r6("density", 10).alias("density"))
