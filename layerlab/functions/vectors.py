@@ -91,7 +91,8 @@ def row_moments(vec: Column) -> dict[str, Column]:
 
 
 def neg_log10(p: Column) -> Column:
-    return -F.log10(p)
+    """-log10(p), infinite for p = 0 (Spark's log10 would give null)."""
+    return F.when(p == 0, F.lit(float("inf"))).otherwise(-F.log10(p))
 
 
 def round_display(x: Column, digits: int = 3) -> Column:

@@ -90,6 +90,9 @@ def test_vectors(spark):
     assert (m.v_min, m.v_max, m.v_mean) == (1.0, 6.0, 3.0)
     assert m.v_std == pytest.approx(np.std([1, 2, 6]))
     assert one(spark, 1234.5678, "double", V.round_display) == "1234.568"
+    assert one(spark, 0.0, "double", V.neg_log10) == math.inf
+    assert one(spark, 0.01, "double", V.neg_log10) == pytest.approx(2)
+    assert one(spark, None, "double", V.neg_log10) is None
 
 
 def test_losses_against_numpy(spark):
