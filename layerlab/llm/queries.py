@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlab.llm import exact_dedup, line_dedup
+from layerlab.llm import decontaminate, exact_dedup, line_dedup, prefix_bpe, secret_scan
 from layerlab.llm.common import sha
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MIN_LINE_DOCS = 10
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -70,3 +77,68 @@ FROM m GROUP BY doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), MIN_LINE_DOCS)
     return kept.select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
+
+
+@query("op3_prefix_bpe")
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = prefix_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return prefix_bpe.encoded_digests(encoded)
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def number(kind: str) -> Column:
+        own = F.filter("spans", lambda s: s.kind == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    base_spans = F.filter("spans", lambda s: s.kind.isin(base))
+    return found.select(
+        "doc_id",
+        *map(number, base),
+        sha(listed(base_spans)).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query(
+    "op9_decontaminate",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, w[k:k + least(10, len(w)) - 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM p),
+g AS (
+  SELECT doc_id, n, k, w[k:k + n - 1] AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, n WHERE len(w) >= n)),
+h AS (SELECT doc_id, k, g.n, item_id FROM g JOIN p ON g.n = p.n AND g.g = p.g),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+      FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.hit_counts(
+        decontaminate.contaminated_words(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        )
+    )
+    items = F.array_join(F.array_sort("items"), ",")
+    return hits.select(
+        "doc_id", "n_words", "n_hit", "n_items", sha(items).alias("items_sha256"), "contaminated"
+    )
