@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlab.llm import decontaminate, exact_dedup, line_dedup, prefix_bpe, secret_scan
+from layerlab.llm import (
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    prefix_bpe,
+    reply_trees,
+    secret_scan,
+    toxicity,
+)
 from layerlab.llm.common import sha
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +150,54 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", "n_hit", "n_items", sha(items).alias("items_sha256"), "contaminated"
     )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.graded(docs, model).select("doc_id", "toxicity.*")
+
+
+@query(
+    "op8_reply_trees",
+    r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(replace(x, '\', '\\'),
+    '([<\[])(\|im_(?:start|sep|end)\||/?INST\]|/?s>)', '\1\\\2', 'g')) AS n
+  FROM (SELECT *, role || chr(0) || text AS x FROM c))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + 31)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+)
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-1, 0, "user", probe), (-1, 1, "assistant", probe)]
+    turns = turns.unionByName(
+        spark.createDataFrame(more, "conv_id long, turn long, role string, text string")
+    )
+    chats = reply_trees.format_chats(reply_trees.linear_messages(turns))
+    read = chats.select(
+        F.col("tree.conv").alias("conv_id"),
+        "formatted",
+        reply_trees.turns_read_back(F.col("formatted")).alias("turns"),
+        reply_trees.learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha(F.array_join(lines, "")).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        sha(F.col("learned")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
