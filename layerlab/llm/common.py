@@ -77,7 +77,7 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
         if 2 * m > k:
             return mixed(out)
         block = block[:-m] * power + block[m:]
-        power = power * power
+        power = np.uint64(int(power) ** 2 % (1 << 64))
         m *= 2
 
 

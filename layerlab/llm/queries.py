@@ -12,6 +12,7 @@ from layerlab.llm import (
     exact_dedup,
     line_dedup,
     prefix_bpe,
+    relative_lz,
     reply_trees,
     secret_scan,
     toxicity,
@@ -201,3 +202,26 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha(F.col("learned")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query(
+    "op7_relative_lz",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first_doc FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS pos FROM g JOIN m USING (g) WHERE first_doc < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) FILTER (r.pos IS NULL) AS kept, count(r.pos) AS n_removed
+  FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
+)
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = relative_lz.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
