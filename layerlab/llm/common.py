@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 PIECE = 1 << 19  # positions that one numpy step works on
 CACHED_WORDS = 400_000
+LAST_ID = (1 << 63) - 1  # stands for a missing id
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,16 +83,21 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the position of its first smallest value."""
-    at = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
-    size = 1
-    while size < width:
-        step = min(size, width - size)
-        later = values[step:] < values[:-step]
-        at = np.where(later, at[step:], at[:-step])
-        values = np.where(later, values[step:], values[:-step])
-        size += step
-    return at
+    """For each window of `width` values the position of its first smallest value.
+
+    Values are compared by their upper 42 bits. Minima of the two parts that a
+    window has in blocks of `width` values are running minima from either side.
+    """
+    n = len(values)
+    if n >= 1 << 22:
+        raise ValueError("at most 2^22 values at once")
+    low = np.uint64((1 << 22) - 1)
+    padded = np.full(-(-n // width) * width, np.uint64((1 << 64) - 1))
+    padded[:n] = (values & ~low) | np.arange(n, dtype=np.uint64)
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)
 
 
 def segments(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
@@ -107,7 +113,7 @@ def segments(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     at = leftmost_minima(grams, window - k + 1)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     end = np.append(first[1:], len(at))
-    anchor = at[first].astype(np.int64)
+    anchor = at[first]
     return first, end, anchor, grams[anchor]
 
 
@@ -124,6 +130,15 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`documents` with an id that is never null (`doc`) and 32 bits of th (`mark`)."""
+    return docs.select(
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
+        F.col("th").bitwiseAND(0xFFFFFFFF).alias("mark"),
+        "text",
+    )
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -12,8 +12,8 @@ The vocabulary is a file of fixed size, so its automaton is broadcast. Words are
 remembered per task (a bounded table that is emptied when full).
 
 The text goes through the steps of such a tokenizer first: special tokens are cut
-out as they stand, then NFC, runs of white space to one space, lower case
-(character by character), and the words of a pattern.
+out as they stand, then NFC, lower case (character by character), and the words of
+a pattern, which white space separates.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded
 each; an empty table gives no rows.
@@ -22,6 +22,7 @@ each; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 
 from layerlab.llm.common import PIECE, documents, map_batches
 
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-BLANK_RUNS = r"\p{White_Space}+"
+WORDS = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\p{White_Space}\p{L}\p{N}]+"
+#: the same for lower-cased texts of code points below 256
+LATIN_WORDS = (
+    "[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d"
+    "|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
 # Code points that the tokenizers library, at Unicode 16, and the
 # pattern and letter-case tables here, at Unicode 17 and 15, take differently.
 NOT_YET_LETTERS = (
@@ -55,8 +60,9 @@ NEW_LOWER_CASE = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5,
     0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
 } | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 400_000
 REMEMBERED_PAIRS = 1_000_000
+START_OF_WORD = 0xFFFFF  # in place of a token
 
 
 def byte_letters() -> list[str]:
@@ -196,95 +202,107 @@ class Vocabulary:
                 until, b = rank[b] + 1, self.left[b]
 
 
-class WordEncoder:
-    """Encodes words with a vocabulary; remembers words and pairs of tokens."""
+class _Pairs(dict):
+    """Which tokens may follow each other, worked out when first asked."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= REMEMBERED_PAIRS:
+            self.clear()
+        before, token = pair >> 20, pair & 0xFFFFF
+        fits = before == START_OF_WORD or self.v.side_by_side(before, token)
+        self[pair] = fits
+        return fits
+
+
+class WordEncoder(dict):
+    """Word -> ids. Full, it keeps the words of the last round and starts another."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.pairs = vocabulary, _Pairs(vocabulary)
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.latin = re.compile(LATIN_WORDS)
         self.pattern = regex.compile(WORDS)
-        self.blanks = regex.compile(BLANK_RUNS)
         odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NOT_YET_LETTERS)
         new = "".join(f"\\U{c:08x}" for c in NEW_LOWER_CASE)
-        self.odd = regex.compile(f"[{odd}{new}]")
-        strict = WORDS.replace(r"|\p{L}+|\p{N}|", rf"|[\p{{L}}--[{odd}]]+|[\p{{N}}--[{odd}]]|")
+        self.odd = re.compile(f"[{odd}{new}]")
+        strict = WORDS.replace(r"\p{L}+|\p{N}|", rf"[\p{{L}}--[{odd}]]+|[\p{{N}}--[{odd}]]|")
         strict = strict.replace(r"|[^\p{White_Space}\p{L}\p{N}]+", rf"|(?:[{odd}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])+")
         self.strict = regex.compile(strict, regex.V1)
         names = sorted(vocabulary.specials, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.tokens(word)
+        if len(self) >= REMEMBERED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
     def symbols(self, word: str) -> list[int]:
         data = word.encode()
         inside = self.v.inside
         out = [inside[b] for b in data]
         out[-1] = self.v.last[data[-1]]
-        return [s for s in out if s >= 0]
+        return [s for s in out if s >= 0] if min(out) < 0 else out
 
     def tokens(self, word: str) -> tuple[int, ...]:
         v, pairs = self.v, self.pairs
         moves, ending, link, length = v.moves, v.ending, v.link, v.length
-        if len(pairs) > REMEMBERED_PAIRS:
-            pairs.clear()
         symbols = self.symbols(word)
-        last, size = [-1], [0]
-        state = matched = 0
-        for at, s in enumerate(symbols, 1):
+        last, size = [START_OF_WORD], [0]  # by prefix: its last token, and how long that is
+        state = matched = at = 0
+        for s in symbols:
+            at += 1
             to = moves.get(state << 10 | s)
             while to is None:
                 state = link[state]
                 matched = length[state]
                 to = moves.get(state << 10 | s)
-            state, matched = to, matched + 1
+            state = to
+            matched += 1
             for token, n in ending[state]:
-                if n > matched:
-                    continue
-                before = last[at - n]
-                if n < at:
-                    pair = before << 20 | token
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = pairs[pair] = v.side_by_side(before, token)
-                    if not fits:
-                        continue
-                last.append(token)
-                size.append(n)
-                break
+                if n <= matched and pairs[last[at - n] << 20 | token]:
+                    last.append(token)
+                    size.append(n)
+                    break
             else:
                 raise ValueError(f"no token ends at {at} of {word!r}")
-        out, at = [], len(symbols)
+        out = []
         while at:
             out.append(last[at])
             at -= size[at]
-        return tuple(reversed(out))
-
-    def normal(self, text: str) -> str:
-        if text.isascii():
-            return self.blanks.sub(" ", text).lower()
-        text = self.blanks.sub(" ", unicodedata.normalize("NFC", text))
-        if self.odd.search(text):
-            text = text.translate(NEW_LOWER_CASE)
-        # lower() looks at neighbours for one letter only, the capital sigma
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-    def _plain(self, text: str) -> Iterable[tuple[int, ...]]:
-        known = self.words
-        text = self.normal(text)
-        odd = not text.isascii() and self.odd.search(text)
-        for word in (self.strict if odd else self.pattern).findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= REMEMBERED_WORDS:
-                    known.clear()
-                ids = known[word] = self.tokens(word)
-            yield ids
+        out.reverse()
+        return tuple(out)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; white space only separates, so it need not be made even."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            text = unicodedata.normalize("NFC", text)
+            odd = self.odd.search(text)
+            if odd:
+                text = text.translate(NEW_LOWER_CASE)
+            # lower() looks at neighbours for one letter only, the capital sigma
+            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+            return (self.strict if odd else self.pattern).findall(text)
+        return self.latin.findall(text.lower())
+
+    def _plain(self, text: str) -> Iterable[int]:
+        return chain.from_iterable(map(self.__getitem__, self.words(text)))
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(x in text for x in self.v.specials):
-            return list(chain.from_iterable(self._plain(text)))
+            return list(self._plain(text))
         out: list[int] = []
         for k, part in enumerate(self.cut.split(text)):
-            out.extend([self.v.specials[part]] if k % 2 else chain.from_iterable(self._plain(part)))
+            out.extend([self.v.specials[part]] if k % 2 else self._plain(part))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -13,6 +13,7 @@ from layerlab.llm import (
     line_dedup,
     prefix_bpe,
     relative_lz,
+    repeats,
     reply_trees,
     secret_scan,
     toxicity,
@@ -225,3 +226,15 @@ FROM d LEFT JOIN k USING (doc_id)
 def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = relative_lz.substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
+
+
+@query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.repeat_dedup(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("starts").cast("long").alias("n_spans"),
+        sha(F.col("kept")).alias("kept_sha256"),
+    )

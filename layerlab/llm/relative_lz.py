@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlab.llm.common import (
+    LAST_ID,
     PIECE,
     WordHashes,
     as_bytes,
     documents,
     gram_hashes,
     map_batches,
+    numbered,
     segments,
     union_length,
 )
@@ -45,19 +47,9 @@ from layerlab.plans.materialize import via_parquet
 
 WINDOW = 13
 GRAM = 3
-LAST_ID = (1 << 63) - 1  # stands for a missing id
 SEGMENT = "block long, doc long, place long, windows binary"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """common.documents with the id as a number that is never null, and 32 bits of th."""
-    return docs.select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
-        F.col("th").bitwiseAND(0xFFFFFFFF).alias("mark"),
-        "text",
-    )
-
-
 def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(block, doc, place, windows): `place` is the first word << 32 | mark."""
 
@@ -95,7 +87,7 @@ def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield out()
 
-    return _numbered(docs).mapInArrow(cut, SEGMENT)
+    return numbered(docs).mapInArrow(cut, SEGMENT)
 
 
 def factors(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
@@ -230,7 +222,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, starts, ends, kept): kept words joined by one space."""
-    joined = _numbered(docs).join(spans, ["doc", "mark"], "left")
+    joined = numbered(docs).join(spans, ["doc", "mark"], "left")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
