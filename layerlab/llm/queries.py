@@ -11,6 +11,7 @@ from layerlab.llm import (
     decontaminate,
     exact_dedup,
     line_dedup,
+    order_minhash,
     prefix_bpe,
     relative_lz,
     repeats,
@@ -238,3 +239,8 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("starts").cast("long").alias("n_spans"),
         sha(F.col("kept")).alias("kept_sha256"),
     )
+
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
