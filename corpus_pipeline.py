@@ -1,24 +1,100 @@
-"""From documents to token ids: toxicity, lines, near copies, benchmark passages, BPE."""
+"""From documents to token ids, in five stages.
+
+toxicity        documents that the ordinal model calls toxic go
+line_dedup      lines that many documents share are cut out of the texts
+near_dedup      of each class of near copies the document with the smallest id stays
+decontaminate   documents with a passage of the benchmark go
+bpe             token ids of what is left, with digests
+
+Each stage works on all rows that its predecessor kept; its result is written to
+the shared folder and read again. All but the last return the columns of
+documents. A text that lost all its lines is empty and stays: it is a document
+without a line of its own, and all such documents are one class of near copies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from layerlab.llm import decontaminate, line_dedup, order_minhash, prefix_bpe, toxicity
+from layerlab.llm.common import documents, on_row
+from layerlab.llm.queries import MIN_LINE_DOCS, table, tokenizer_path
 from layerlab.plans.materialize import via_parquet
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of documents that are not toxic, with a model fitted on the labels."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    graded = toxicity.graded(docs, model)
+    return graded.filter(~F.col("toxicity.toxic")).drop("toxicity")
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """`docs` with the hash that tells rows of one id apart, as in common.documents."""
+    return docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that `MIN_LINE_DOCS` documents or more have."""
+    bitmaps = line_dedup.keep_bitmaps(documents(docs), MIN_LINE_DOCS)
+    cut = line_dedup.apply_bitmaps(documents(docs), bitmaps.filter("n_dropped > 0")).select(
+        "doc_id", "th", F.col("text").alias("cut_text")
+    )
+    cut = cut.groupBy("doc_id", "th").agg(F.first("cut_text").alias("cut_text"))
+    keyed = _row_key(docs)
+    text = F.coalesce("cut_text", "text").alias("text")
+    joined = keyed.join(cut, on_row(keyed, cut), "left")
+    kept = joined.select(*(keyed[c] if c != "text" else text for c in docs.columns))
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+        kept = kept.withColumn("n_chars", length)
+    return kept.select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    verdicts = order_minhash.near_duplicates(docs)
+    gone = verdicts.filter("NOT kept").select("doc_id", "mark").distinct()
+    keyed = _row_key(docs).withColumn("mark", F.col("th").bitwiseAND(0xFFFFFFFF))
+    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["mark"] == gone["mark"])
+    return keyed.join(gone, same, "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    hits = decontaminate.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
+    hit = hits.filter(F.size("starts") > 0).select("doc_id", "th").distinct()
+    keyed = _row_key(docs)
+    return keyed.join(hit, on_row(keyed, hit), "left_anti").select(docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)."""
+    encoded = prefix_bpe.encode(docs, tokenizer_path())
+    return prefix_bpe.encoded_digests(encoded, "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("bpe", bpe_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = via_parquet(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
 
 
-#: Stages that fit a model or cluster near copies have no SQL.
+#: No SQL: the first stage fits a model and the third follows links to their end.
 ORACLE_SQL: str | None = None

@@ -346,12 +346,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return map_batches(rows, run, "doc_id long, ids array<int>, decoded string")
 
 
-def encoded_digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of `encode`."""
+def encoded_digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, *more columns, ids_sha256, decoded_sha256) of `encode`."""
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        *more,
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
