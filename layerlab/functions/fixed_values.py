@@ -150,12 +150,6 @@ BLANKS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
-# The same blanks as code point ranges.
-BLANK_RANGES = [
-    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
-    (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
-    (0x3000, 0x3000),
-]
 
 # Word pattern of the term counters, and the sentiment constant.
 WORD_PATTERN = r"([\p{L}\p{N}_]{2,})"

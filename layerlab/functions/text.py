@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from layerlab.functions.fixed_values import (
-    BLANK_RANGES,
     BLANKS,
     EMOTICONS,
     WORD_PATTERN,
@@ -102,11 +101,9 @@ def emoji_to_name(text: Column, names: dict[str, str], separate: bool = False) -
 def outside_class(keep: str) -> str:
     """Regex class of every character but a-z, A-Z, 0-9, blanks and `keep`.
 
-    Spelled as plain ranges: Java's negated classes run several times slower
-    and stop scaling over the threads of one executor.
+    Blanks are Unicode white space and the four separators U+001C to U+001F.
     """
-    ranges = [(48, 57), (65, 90), (97, 122), *BLANK_RANGES, *((ord(c), ord(c)) for c in keep)]
-    return _char_class(_gaps(ranges))
+    return rf"(?U)[^a-zA-Z0-9\s\x1c-\x1f{re.escape(keep)}]"
 
 
 def _clean(

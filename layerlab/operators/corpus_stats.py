@@ -13,10 +13,6 @@ from layerlab.plans.materialize import inline_if_small, via_parquet
 from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
 
-
-MAX_PIVOT = 10_000
-
-
 # ---- distributions -----------------------------------------------------------
 
 
@@ -92,14 +88,13 @@ def profile_table(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
-    """Count per pair as a wide table; absent pairs are null, null keys dropped."""
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
+    """Count per pair as a wide table of the given column values.
+
+    Absent pairs are null, null keys dropped. Where the values are not known,
+    point_counts has the same counts in long form.
+    """
     pairs = df.na.drop(subset=[row, column]).groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
-    if values is None:
-        found = pairs.select(column).distinct().orderBy(column).limit(MAX_PIVOT + 1).collect()
-        if len(found) > MAX_PIVOT:
-            raise ValueError(f"{column} has more than {MAX_PIVOT} values; use point_counts")
-        values = [r[0] for r in found]
     return pairs.groupBy(row).pivot(column, list(values)).agg(F.sum("_n"))
 
 

@@ -7,22 +7,20 @@ over whole vectors, so values are never exploded and shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerlab.functions import vectors as V
-from layerlab.plans.materialize import inline_if_small, small_table
+from layerlab.plans.materialize import inline_if_small
 from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
 VECTOR_TABLE_ROWS = 512
-CENTROID_ROWS = 2048
 
 
 def _moments(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
@@ -254,11 +252,14 @@ def class_distances(
 
 
 def _silhouette_from_means(per_sample: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean of (b - a) / max(a, b); 0 for singletons, -1 with fewer than two classes."""
+    """Mean of (b - a) / max(a, b); 0 for singletons.
+
+    -1 with fewer than two classes or where a distance is not a number.
+    """
     a, b = F.col("_a"), F.col("_b")
     s = F.when(a.isNull(), 0.0).when(F.greatest(a, b) == 0, 0.0).otherwise((b - a) / F.greatest(a, b))
     return per_sample.groupBy(*keys).agg(
-        F.when(F.count("_b") == 0, -1.0).otherwise(F.avg(s)).alias("silhouette")
+        F.when((F.count("_b") == 0) | F.isnan(F.avg(s)), -1.0).otherwise(F.avg(s)).alias("silhouette")
     )
 
 
@@ -285,11 +286,11 @@ def squared_silhouette(
     """Silhouette with squared Euclidean distance, linear in the rows.
 
     The mean squared distance from x to a class is |x|^2 + mean|y|^2 - 2 x.c,
-    so each row needs only its key's centroids. They go to the tasks as one
-    matrix per key (numpy on Arrow batches) when there are few enough, and are
-    joined to the rows otherwise.
+    so each row needs only its key's centroids, which are joined as one array per
+    key. Rows without a label or a vector take no part; with a NaN in a vector the
+    key has -1.
     """
-    dense = df.select(*keys, F.col(label).cast("int").alias("_label"), V.doubles(F.col(vec)).alias("_vec"))
+    dense = df.filter(F.col(label).isNotNull()).select(*keys, F.col(label).cast("int").alias("_label"), V.doubles(F.col(vec)).alias("_vec"))
     classes = _moments(dense, [*keys, "_label"], "_vec").select(
         *keys,
         F.col("_label").alias("c"),
@@ -300,51 +301,11 @@ def squared_silhouette(
             F.zip_with("mean", "m2", lambda m, s: m * m + s / F.col("n")), F.lit(0.0), lambda a, v: a + v
         ).alias("q"),
     )
-    rows = small_table(classes, CENTROID_ROWS)
-    if rows is None:
-        return _silhouette_from_means(_class_means_joined(dense, classes, keys), keys)
-    return _silhouette_from_means(_class_means_arrow(dense, rows, keys), keys)
+    return _silhouette_from_means(_class_means(dense, classes, keys), keys)
 
 
-def _class_means_arrow(dense: DataFrame, centroids: pa.Table, keys: Sequence[str]) -> DataFrame:
+def _class_means(dense: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, _a, _b): mean squared distance to the own and the nearest other class."""
-    key_names = list(keys)
-    groups: dict[tuple, dict[str, np.ndarray]] = {}
-    for row in centroids.to_pylist():
-        at = groups.setdefault(tuple(row[k] for k in key_names), {"c": [], "n": [], "m": [], "q": []})
-        for f in at:
-            at[f].append(row[f])
-    groups = {k: {f: np.asarray(v, dtype=float) for f, v in g.items()} for k, g in groups.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at: dict[tuple, list[int]] = {}
-            # pandas shows a null key as NaN
-            columns = [[None if v != v else v for v in pdf[k]] for k in key_names]
-            for i, key in enumerate(zip(*columns, strict=True) if columns else [()] * len(pdf)):
-                at.setdefault(key, []).append(i)
-            for key, index in at.items():
-                part = pdf.iloc[index]
-                g = groups[key]
-                x = np.stack(part["_vec"].to_numpy())
-                sq = np.einsum("ij,ij->i", x, x)[:, None] + g["q"][None, :] - 2.0 * (x @ g["m"].T)
-                own = part["_label"].to_numpy()[:, None] == g["c"][None, :]
-                n = np.where(own, g["n"][None, :], 0.0).sum(axis=1)
-                mine = np.where(own, sq, 0.0).sum(axis=1)
-                out = part[key_names].copy()
-                out["_a"] = np.where(n > 1, mine * n / np.maximum(n - 1, 1), np.nan)
-                other = np.where(own, np.inf, sq).min(axis=1)
-                out["_b"] = np.where(np.isinf(other), np.nan, other)
-                yield out
-
-    types = dict(dense.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in key_names], "_a double", "_b double"])
-    means = dense.filter(F.size("_vec") > 0).mapInPandas(run, schema)
-    return means.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("_a", "_b")})
-
-
-def _class_means_joined(dense: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same by a join with one array of centroids per key."""
     table = classes.groupBy(*keys).agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("_classes"))
     sq = F.aggregate("_vec", F.lit(0.0), lambda a, v: a + v * v)
     joined = null_safe_join(dense.filter(F.size("_vec") > 0), table, list(keys), "inner").withColumn("_sq", sq)

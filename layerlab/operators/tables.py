@@ -200,7 +200,7 @@ def missing_values(requested: DataFrame, available: DataFrame) -> DataFrame:
 
 def require_layers(requested: DataFrame, available: DataFrame) -> None:
     """Raise when a requested layer does not exist."""
-    missing = [r[0] for r in missing_values(requested, available).limit(100).collect()]
+    missing = [r[0] for r in missing_values(requested, available).collect()]
     if missing:
         raise ValueError(f"missing layers: {sorted(missing)}")
 

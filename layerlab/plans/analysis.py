@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from layerlab.operators import evaluation as E
 from layerlab.operators import layer_stats as S
 from layerlab.operators import tables as TB
+from layerlab.plans.materialize import via_parquet
 from layerlab.plans.probes import Failures, ProbeData, probe_mlp
 from layerlab.sources.sinks import load_results, save_results
 
@@ -71,24 +72,24 @@ def analyze_layers(
     hidden: Sequence[int] = (),
     max_iter: int = 100,
     train_only: bool = True,
-    squared: bool = False,
+    exact_silhouette: bool = False,
     threads: int = 4,
 ) -> tuple[LayerAnalysis, Failures]:
     """One classifier per layer, scores, confusion, centroids, silhouettes, summary.
 
-    `squared=True` takes the silhouette with squared distances, linear in the
-    rows, where the Euclidean one (quadratic in the rows of a layer and split)
-    is out of reach.
+    The silhouette takes squared distances and is linear in the rows;
+    `exact_silhouette=True` asks for the Euclidean one, which is quadratic in the
+    rows of a layer and split. Predictions and silhouettes are written once and
+    read by all that follows.
     """
     data = ProbeData(rows, train_only=train_only)
     predictions, failures = probe_mlp(data, list(hidden), max_iter, threads=threads)
+    predictions = via_parquet(predictions, "predictions")
     keys = ["layer", "split"]
     counts = E.confusion_counts(predictions, keys)
     centroids = S.class_centroids(data.table, keys)
-    if squared:
-        silhouettes = S.squared_silhouette(data.table, keys)
-    else:
-        silhouettes = S.silhouette_exact(data.table, keys)
+    score = S.silhouette_exact if exact_silhouette else S.squared_silhouette
+    silhouettes = via_parquet(score(data.table, keys), "silhouettes")
     metrics = (
         E.accuracy(counts, keys)
         .join(E.macro_f1(counts, keys), keys)

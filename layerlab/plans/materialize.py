@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 INLINE_ROWS = 10_000
+INLINE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,7 +69,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def small_table(df: DataFrame, max_rows: int = INLINE_ROWS) -> pa.Table | None:
-    """The rows of `df` if there are at most `max_rows`; else None.
+    """The rows of `df` if there are at most `max_rows` of INLINE_BYTES in all; else None.
 
     Rows are taken partition by partition until there are max_rows + 1, so a
     big side costs no more than that.
@@ -76,11 +77,12 @@ def small_table(df: DataFrame, max_rows: int = INLINE_ROWS) -> pa.Table | None:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return None
-    return pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
+    table = pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
+    return table if table.nbytes <= INLINE_BYTES else None
 
 
 def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:
-    """Evaluate a small side now and broadcast it if it has at most `max_rows` rows.
+    """Evaluate a small side now and broadcast it if it is small (see small_table).
 
     A bigger side is returned unchanged and unhinted, so the join falls back to
     a shuffle join with adaptive skew handling.

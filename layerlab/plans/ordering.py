@@ -4,7 +4,8 @@
   splitting the key into 20-bit digits; each window partition holds at most
   2^20 keys (2^23 digits at the top), whatever the size of the table or group.
 * `smallest_k`: the exact k smallest rows per group by a hash order, found from
-  a 4,096-bin histogram; only the rows of the boundary bin are ever sorted.
+  a histogram whose bins are as fine as the table is long; only the rows of the
+  boundary bin, at most some 2^20, are ever sorted.
 * `exact_quantiles`: order statistics by narrowing value ranges.
 """
 
@@ -20,8 +21,19 @@ from pyspark.sql import functions as F
 from layerlab.plans.materialize import cut_lineage, inline_if_small, local_side, small_table
 
 DIGIT_BITS = 20
-# hex digits of the hash histogram: 4,096 bins per group, of which one is sorted
-HASH_DIGITS = 3
+# the bin of a hash histogram that is sorted may hold this many rows
+BIN_ROWS = 1 << 20
+
+
+def hash_digits(rows: int) -> int:
+    """Hex digits of the histogram (3 or more), so that a bin of one group fits BIN_ROWS.
+
+    Hashes are even, so half of BIN_ROWS is expected at most.
+    """
+    digits = 3
+    while rows / 16**digits > BIN_ROWS / 2:
+        digits += 1
+    return digits
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -92,11 +104,11 @@ def hash_order(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
-def _edge_bins(df: DataFrame, key: str, seed: int | str, k: Column, g: list[str]) -> DataFrame:
+def _edge_bins(df: DataFrame, key: str, seed: int | str, k: Column, g: list[str], digits: int) -> DataFrame:
     """Per group: n, the histogram bin that holds the k-th row and its rank in there."""
-    bin_ = F.substring(hash_order(seed, F.col(key)), 1, HASH_DIGITS)
+    bin_ = F.substring(hash_order(seed, F.col(key)), 1, digits)
     bins = df.groupBy(*g, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    # at most 4,096 bins per group
+    # at most 16^digits bins per group, a few times n / BIN_ROWS or 4,096
     whole = Window.partitionBy(*(g or [F.lit(0)]))
     return (
         bins.withColumn("n", F.sum("_c").over(whole))
@@ -124,7 +136,8 @@ def smallest_k(
     than `smallest_group` rows, groups are ignored.
     """
     g = list(group)
-    bins = _edge_bins(df, key, seed, k, g)
+    digits = hash_digits(df.count())
+    bins = _edge_bins(df, key, seed, k, g, digits)
     rows = small_table(bins)
     if g and smallest_group > 1:
         least = min(rows["n"].to_pylist(), default=0) if rows is not None else bins.agg(F.min("n")).first()[0]
@@ -132,7 +145,7 @@ def smallest_k(
             return smallest_k(df, key, seed, k, out)
     edges = bins if rows is None else local_side(bins, rows)
     keyed = df.select(*g, key).withColumn("_h", hash_order(seed, F.col(key)))
-    keyed = keyed.withColumn("_bin", F.substring("_h", 1, HASH_DIGITS))
+    keyed = keyed.withColumn("_bin", F.substring("_h", 1, digits))
     edge = null_safe_join(keyed, edges.drop("n"), [*g, "_bin"], "inner")
     ranked = edge.withColumn(
         "_rn",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layerlab.functions.fixed_values import PROBE_DEPTHS, TUNING_GRID, TUNING_LOSSES
 from layerlab.operators import evaluation as E
 from layerlab.operators import layer_stats as S
 from layerlab.operators.tables import apply_split
@@ -15,6 +16,7 @@ from layerlab.plans.analysis import analyze_layers
 from layerlab.plans.encode import HashEncoder, encode_layers
 from layerlab.queries.base import (
     LONG_SPLIT_SQL,
+    LONG_SQL,
     PRED_SQL,
     corpus,
     long_vectors,
@@ -29,64 +31,170 @@ from layerlab.queries.base import (
 SUMMARY = ["train_accuracy", "test_accuracy", "test_macro_f1", "test_weighted_f1", "silhouette_score"]
 
 
-def layer_summary(spark: SparkSession, sf_dir: str, max_iter: int = 50) -> DataFrame:
+def layer_summary(spark: SparkSession, sf_dir: str, max_iter: int = 2000) -> DataFrame:
     """Split, standardise, logistic regression per layer, metrics, silhouette."""
     analysis, _ = analyze_layers(split_vectors(spark, sf_dir), max_iter=max_iter)
     return analysis.summary
 
 
-@query("m2_layer_probe_logistic")
+def _class_sums(predicted: DataFrame, share: Column) -> DataFrame:
+    """(layer, class, p_sum): sums of `share(class)` over the training rows."""
+    rows = predicted.filter("split = 'train'").select("layer", "y", F.posexplode(share).alias("class", "p"))
+    return rows.groupBy("layer", "class").agg(r6(F.sum("p"), 2).alias("p_sum"))
+
+
+def _softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    shifted = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(shifted, lambda x: x / total)
+
+
+# At the optimum of a penalised fit with free intercepts the predicted
+# probabilities of a class add up to its number of training rows, with weights to
+# its weight. The SQL has these numbers; it needs no fit of its own.
+_CLASS_COUNTS = f"""WITH {LONG_SPLIT_SQL} SELECT layer, label::INTEGER AS class, round(count(*)::DOUBLE, 2) AS p_sum
+  FROM split_long WHERE split = 'train' GROUP BY ALL"""
+
+
+@query("m2_layer_probe_logistic", _CLASS_COUNTS)
 def m2(spark, d):
-    predicted, failures = P.probe_logistic(P.ProbeData(split_vectors(spark, d)), 50)
-    return P.layer_accuracies(predicted, failures)
+    predicted, _ = P.probe_logistic(P.ProbeData(split_vectors(spark, d)), 2000)
+    return _class_sums(predicted, _softmax(F.col("logits")))
 
 
-@query("m3_layer_probe_ovr")
+@query("m3_layer_probe_ovr", _CLASS_COUNTS)
 def m3(spark, d):
-    predicted, failures = P.probe_one_vs_rest(P.ProbeData(split_vectors(spark, d), scale=False), 10)
-    return P.layer_accuracies(predicted, failures)
+    predicted, _ = P.probe_one_vs_rest(P.ProbeData(split_vectors(spark, d), scale=False), 100)
+    return _class_sums(predicted, F.transform("logits", lambda x: 1 / (1 + F.exp(-x))))
 
 
-@query("m4_layer_probe_multilabel")
+@query(
+    "m4_layer_probe_multilabel",
+    f"""WITH {LONG_SPLIT_SQL}, train AS (SELECT * FROM split_long WHERE split = 'train'),
+    n AS (SELECT layer, count(*) AS n FROM train GROUP BY layer),
+    pos AS (SELECT layer, id, count(*) AS pos FROM (
+      SELECT layer, sample_id, unnest(list_distinct([label, (label * 3) % 10]))::INTEGER AS id FROM train) GROUP BY ALL)
+    SELECT layer, id AS class, {s6("pos * ((n - pos) / (pos + 1e-7))", 2)} AS p_sum FROM pos JOIN n USING (layer)""",
+)
 def m4(spark, d):
-    rows = split_vectors(spark, d).withColumn("labels", F.array(F.col("label") % 4, F.col("label") % 3))
-    predicted, _ = P.probe_multilabel(P.ProbeData(rows, ["labels"]), "labels", 4, 10)
-    return E.multilabel_metrics(predicted, ["layer", "split"])
+    labels = F.array_distinct(F.array(F.col("label"), (F.col("label") * 3) % 10))
+    data = P.ProbeData(split_vectors(spark, d).withColumn("labels", labels), ["labels"])
+    predicted, _ = P.probe_multilabel(data, "labels", 10, 100)
+    n, pos = F.col("n"), F.col("pos")
+    rows = predicted.filter("split = 'train'").select(
+        "layer", F.posexplode(F.arrays_zip("bits", "logits")).alias("class", "v")
+    ).select("layer", "class", F.col("v.bits").alias("bit"), (1 / (1 + F.exp(-F.col("v.logits")))).alias("p"))
+    sums = rows.groupBy("layer", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bit").alias("pos"),
+        F.sum(F.when(F.col("bit") == 1, F.col("p"))).alias("p_pos"), F.sum(F.when(F.col("bit") == 0, F.col("p"))).alias("p_neg"),
+    )
+    total = F.coalesce("p_pos", F.lit(0.0)) * ((n - pos) / (pos + 1e-7)) + F.coalesce("p_neg", F.lit(0.0))
+    return sums.select("layer", "class", r6(total, 2).alias("p_sum"))
 
 
-@query("m5_layer_probe_weighted")
+@query(
+    "m5_layer_probe_weighted",
+    f"""WITH {LONG_SPLIT_SQL} SELECT layer, label::INTEGER AS class, {s6("count(*) / (count(*) + 1e-7)", 3)} AS p_sum
+    FROM split_long WHERE split = 'train' GROUP BY ALL""",
+)
 def m5(spark, d):
-    predicted, failures = P.probe_weighted(P.ProbeData(split_vectors(spark, d)), 50)
-    return P.layer_accuracies(predicted, failures)
+    predicted, _ = P.probe_weighted(P.ProbeData(split_vectors(spark, d)), 2000)
+    train = predicted.filter("split = 'train'")
+    weights = train.groupBy("layer", "y").agg((1.0 / (F.count(F.lit(1)) + 1e-7)).alias("weight"))
+    rows = train.join(weights, ["layer", "y"]).select(
+        "layer", "weight", F.posexplode(_softmax(F.col("logits"))).alias("class", "p")
+    )
+    return rows.groupBy("layer", "class").agg(r6(F.sum(F.col("weight") * F.col("p")), 3).alias("p_sum"))
+
+
+def _learned(predicted: DataFrame) -> DataFrame:
+    """Rows per (layer, depth, split), and whether the loss beats the class shares."""
+    chosen = F.element_at(_softmax(F.col("logits")), F.col("y") + 1)
+    keys = ["layer", "depth", "split"]
+    rows = predicted.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log(chosen)).alias("loss"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    shares = rows.withColumn("base", -F.col("n") * F.log(F.col("n") / total))
+    better = (F.col("split") != "train") | (F.sum("loss") < F.sum("base"))
+    return shares.groupBy(*keys).agg(F.sum("n").alias("n"), better.alias("learned"))
 
 
-@query("m6_layer_probe_mlp")
+@query(
+    "m6_layer_probe_mlp",
+    f"""WITH {LONG_SPLIT_SQL} SELECT layer, 2 AS depth, split, count(*) AS n, true AS learned FROM split_long GROUP BY ALL""",
+)
 def m6(spark, d):
-    predicted, failures = P.probe_mlp(P.ProbeData(split_vectors(spark, d)), [32, 16], 30)
-    return P.layer_accuracies(predicted, failures)
+    predicted, _ = P.probe_mlp(P.ProbeData(split_vectors(spark, d)), [256, 128], 80)
+    return _learned(predicted).withColumn("learned", F.coalesce("learned", F.lit(True)))
 
 
-@query("m7_train_all_layers")
+@query(
+    "m7_train_all_layers",
+    f"""WITH {LONG_SPLIT_SQL} SELECT layer, depth, split, count(*) AS n, true AS learned
+    FROM split_long, (SELECT unnest([0, 1, 2]) AS depth) GROUP BY ALL""",
+)
 def m7(spark, d):
     data = P.ProbeData(split_vectors(spark, d))
-    predicted, failures = P.train_all_layers(data, [[], [16], [16, 8]], 20)
-    return P.layer_accuracies(predicted, failures)
+    predicted, _ = P.train_all_layers(data, PROBE_DEPTHS[:3], 40)
+    return _learned(predicted)
 
 
-@query("m8_tune")
+_TRIALS = [
+    {"hidden_layers": hidden, "epochs": 50, "weight_decay": decay, "loss_function": loss}
+    for hidden in TUNING_GRID["hidden_layers"][:2]
+    for decay in TUNING_GRID["weight_decay"]
+    for loss in TUNING_LOSSES["singlelabel"]
+]
+
+
+@query(
+    "m8_tune",
+    f"""WITH {LONG_SQL} SELECT DISTINCT layer, k AS trial_id,
+      CASE WHEN k % 3 = 0 THEN 'done' ELSE 'failed' END AS status, k % 3 = 0 AS scored FROM long, range({len(_TRIALS)}) r(k)""",
+)
 def m8(spark, d):
-    """A small grid on every layer."""
-    grid = [{"hidden_layers": h, "epochs": 10, "loss_function": loss} for h in ([], [16]) for loss in ("ce", "hinge")]
+    """Hidden layers x weight decay x loss on every layer; Spark fits one of the losses."""
     data = P.ProbeData(split_vectors(spark, d))
-    trials = [P.tune(data, layer, grid).withColumn("layer", F.lit(layer)) for layer in data.layers]
+    trials = [P.tune(data, layer, _TRIALS).withColumn("layer", F.lit(layer)) for layer in data.layers]
+    accuracy = F.col("metrics")["accuracy"]
     return reduce(DataFrame.unionByName, trials).select(
-        "layer", "trial_id", F.col("metrics")["accuracy"].alias("accuracy"), "status"
+        "layer", "trial_id", "status", F.coalesce(accuracy.between(0, 1), F.lit(False)).alias("scored")
     )
 
 
-@query("m13_project_2d")
+_POWER = """{name} AS (
+  SELECT layer, split, c, 0 AS step, list_transform(range(16), lambda x: 1.0 + x / 7.0) AS v FROM {of}
+  UNION ALL
+  SELECT layer, split, c, step + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u)))
+  FROM (SELECT *, list_transform(c, lambda r: list_dot_product(r, v)) AS u FROM {name} WHERE step < 3000)),
+{name}_last AS (
+  SELECT layer, split, c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS value
+  FROM {name} WHERE step = 3000)"""
+
+
+@query(
+    "m13_project_2d",
+    f"""WITH RECURSIVE {LONG_SPLIT_SQL},
+    cell AS (SELECT layer, split, sample_id, generate_subscripts(vec, 1) AS i, unnest(vec) AS x FROM split_long),
+    cov AS (SELECT a.layer, a.split, a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM cell a
+      JOIN cell b ON a.layer = b.layer AND a.split = b.split AND a.sample_id = b.sample_id GROUP BY ALL),
+    line AS (SELECT layer, split, i, list(c ORDER BY j) AS r FROM cov GROUP BY ALL),
+    m1 AS (SELECT layer, split, list(r ORDER BY i) AS c FROM line GROUP BY ALL),
+    {_POWER.format(name="p1", of="m1")},
+    m2 AS (SELECT layer, split, list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - value * v[i] * v[j])) AS c FROM p1_last),
+    {_POWER.format(name="p2", of="m2")},
+    n AS (SELECT layer, split, count(*) AS n FROM split_long GROUP BY ALL)
+    SELECT n.layer, n.split, n, {s6("p1_last.value")} AS var_x, {s6("p2_last.value")} AS var_y, 0.0::DOUBLE AS covariance
+    FROM n JOIN p1_last USING (layer, split) JOIN p2_last USING (layer, split)""",
+)
 def m13(spark, d):
-    return P.project_2d(split_vectors(spark, d))
+    """Rows, variances (the two largest eigenvalues) and covariance of the components."""
+    return P.project_2d(split_vectors(spark, d)).groupBy("layer", "split").agg(
+        F.count(F.lit(1)).alias("n"),
+        r6(F.var_samp("x")).alias("var_x"),
+        r6(F.var_samp("y")).alias("var_y"),
+        r6(F.covar_samp("x", "y")).alias("covariance"),
+    )
 
 
 _FEATURE = "('0x' || substr(md5(concat(layer, ':0:', i, ':', md5(text))), 1, 8))::BIGINT / 4294967296.0::DOUBLE"

@@ -262,4 +262,4 @@ def r2(spark, d):
     vectors.write.parquet(source)
     layer_streams.stream_layer_stats(layer_streams.vector_stream(spark, source, vectors.schema), target, state)
     nums = ["value_mean", "value_std", "value_min", "value_max"]
-    return spark.read.parquet(target).select("layer", "n_values", *[r6(c).alias(c) for c in nums])
+    return layer_streams.latest_layer_stats(spark, target).select("layer", "n_values", *[r6(c).alias(c) for c in nums])

@@ -72,16 +72,20 @@ def parse_records(raw: DataFrame) -> DataFrame:
     return raw.select(*keep, F.posexplode(F.from_json("value", RECORDS)).alias("pos", "layers"))
 
 
+def unreadable() -> Column:
+    """A file text that is not a JSON array of records, or has one that is none."""
+    parsed = F.from_json("value", RECORDS)
+    return parsed.isNull() | F.exists(parsed, lambda r: r.isNull())
+
+
 def read_layer_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Samples of all batch files; unreadable files give no rows (see bad_files)."""
-    return parse_records(_raw(spark, path)).filter(F.col("layers").isNotNull())
+    return parse_records(_raw(spark, path).filter(~unreadable()))
 
 
 def bad_files(spark: SparkSession, path: str) -> DataFrame:
     """Batch files that are not a JSON array of records."""
-    parsed = F.from_json("value", RECORDS)
-    broken = parsed.isNull() | F.exists(parsed, lambda r: r.isNull())
-    return _raw(spark, path).filter(broken).select("file_name", F.lit("not a list of layer records").alias("reason"))
+    return _raw(spark, path).filter(unreadable()).select("file_name", F.lit("not a list of layer records").alias("reason"))
 
 
 def limit_batches(df: DataFrame, max_batches: int) -> DataFrame:

@@ -15,11 +15,12 @@ from layerlab.sources.layer_files import (
     logical_file_name,
     parse_file_name,
     parse_records,
+    unreadable,
 )
 
 
-def stream_batch_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Streaming samples of new batch files, long layout."""
+def _arriving(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    """Streaming (file_name, value, name parts) of new batch files."""
     raw = (
         spark.readStream.format("text")
         .option("wholetext", True)
@@ -28,8 +29,12 @@ def stream_batch_files(spark: SparkSession, path: str, max_files: int = 1000) ->
         .load(path)
         .select(logical_file_name(F.col("_metadata.file_path")).alias("file_name"), "value")
     )
-    named = filter_files(raw).withColumns(parse_file_name(F.col("file_name")))
-    samples = parse_records(named)
+    return filter_files(raw).withColumns(parse_file_name(F.col("file_name")))
+
+
+def stream_batch_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Streaming samples of new batch files, long layout; unreadable files give none."""
+    samples = parse_records(_arriving(spark, path, max_files).filter(~unreadable()))
     return samples.select(
         "model", "dataset", "batch_idx", "pos", F.explode("layers").alias("_name", "vec")
     ).select("model", "dataset", "batch_idx", "pos", layer_number(F.col("_name")).alias("layer"), "vec")
@@ -40,51 +45,55 @@ def ingest_batches(
 ) -> None:
     """Append all batch files not seen before to the vector table, then stop.
 
-    The checkpoint is the resume point: a second run adds nothing.
+    Files that cannot be read go to the table `<table>-errors`, with their name and
+    text, so that none is passed over in silence. The two checkpoints are the
+    resume points: a second run adds nothing.
     """
     vectors = stream_batch_files(spark, path, max_files).filter(F.col("batch_idx") >= start)
-    query = (
-        vectors.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("model", "dataset", "layer")
-        .trigger(availableNow=True)
-        .start(table)
-    )
-    query.awaitTermination()
+    errors = _arriving(spark, path, max_files).filter(unreadable() & (F.col("batch_idx") >= start))
+    for rows, to, state, parts in (
+        (vectors, table, checkpoint, ["model", "dataset", "layer"]),
+        (errors.select("file_name", "value"), f"{table}-errors", f"{checkpoint}-errors", []),
+    ):
+        query = (
+            rows.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", state)
+            .partitionBy(*parts)
+            .trigger(availableNow=True)
+            .start(to)
+        )
+        query.awaitTermination()
 
 
 def running_layer_stats(vectors: DataFrame, keys: Sequence[str] = ("layer",), vec: str = "vec") -> DataFrame:
     """Value statistics per key, kept up to date while vectors arrive.
 
-    Each vector is reduced to five numbers before the stateful aggregate, whose
-    state is one row per key.
+    The state is one row per key; the deviation comes from Spark's own aggregate,
+    which keeps its digits when values are far from zero.
     """
-    v = doubles(F.col(vec))
-    rows = vectors.select(
-        *keys,
-        F.size(v).alias("_n"),
-        F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("_s"),
-        F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).alias("_q"),
-        F.array_min(v).alias("_lo"),
-        F.array_max(v).alias("_hi"),
-    )
-    n, s, q = F.sum("_n"), F.sum("_s"), F.sum("_q")
-    variance = F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))
-    return rows.groupBy(*keys).agg(
-        n.alias("n_values"),
-        (s / n).alias("value_mean"),
-        F.sqrt(variance).alias("value_std"),
-        F.min("_lo").alias("value_min"),
-        F.max("_hi").alias("value_max"),
+    values = vectors.select(*keys, F.explode(doubles(F.col(vec))).alias("_x"))
+    return values.groupBy(*keys).agg(
+        F.count("_x").alias("n_values"),
+        F.avg("_x").alias("value_mean"),
+        F.stddev_pop("_x").alias("value_std"),
+        F.min("_x").alias("value_min"),
+        F.max("_x").alias("value_max"),
     )
 
 
 def stream_layer_stats(vectors: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = ("layer",)) -> None:
-    """Run running_layer_stats over all available input; `table` holds the last state."""
+    """Run running_layer_stats over all available input.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    Every micro batch writes a state of its own and then its number to the list of
+    versions. A state that is written is never changed, so readers always find a
+    whole one (latest_layer_stats).
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/state-{number}")
+        done = batch.sparkSession.createDataFrame([(number,)], "version long")
+        done.write.mode("append").parquet(f"{table}/versions")
 
     query = (
         running_layer_stats(vectors, keys)
@@ -97,6 +106,12 @@ def stream_layer_stats(vectors: DataFrame, table: str, checkpoint: str, keys: Se
     query.awaitTermination()
 
 
+def latest_layer_stats(spark: SparkSession, table: str) -> DataFrame:
+    """The last state that stream_layer_stats has written in full."""
+    last = spark.read.parquet(f"{table}/versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{table}/state-{last}")
+
+
 def vector_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
     """Streaming read of a parquet vector table."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

@@ -148,3 +148,11 @@ def test_shapes(spark):
         spark.createDataFrame([(0, [1]), (0, [2, 3]), (1, [4])], "batch_idx int, labels array<int>")
     )
     assert sorted(r.labels for r in padded.collect()) == [[1, 0], [2, 3], [4]]
+
+
+def test_hash_bins_stay_small():
+    from layerlab.plans.ordering import BIN_ROWS, hash_digits
+
+    for rows in (0, 10**6, 10**9, 10**12, 10**15):
+        assert rows / 16 ** hash_digits(rows) <= BIN_ROWS / 2
+    assert hash_digits(10**9) == 3 and 16 ** hash_digits(10**12) <= BIN_ROWS * 16

@@ -80,9 +80,9 @@ def test_tune_records_failures(data):
 
 
 def test_projection(data):
-    out = P.project_2d(data.table, n=50).toPandas()
+    out = P.project_2d(data.table).toPandas()
     sizes = out.groupby(["layer", "split"]).size()
-    assert dict(sizes) == {(k, s): n for k in (0, 1) for s, n in (("train", 50), ("test", 30))}
+    assert dict(sizes) == {(k, s): n for k in (0, 1) for s, n in (("train", 120), ("test", 30))}
     assert out.x.var() > out.y.var() > 0
 
 
@@ -125,5 +125,5 @@ def test_analysis_saves_and_loads(spark, tmp_path):
     assert summary[1].silhouette_score > summary[0].silhouette_score
     assert again.confusion.filter("layer = 1 AND split = 'test'").agg(F.sum("n")).first()[0] == 18
     assert again.similarities.count() == 2 * 2 * 3
-    squared, _ = analyze_layers(rows, max_iter=5, squared=True)
-    assert squared.silhouettes.count() == 4
+    exact, _ = analyze_layers(rows, max_iter=5, exact_silhouette=True)
+    assert exact.silhouettes.count() == 4

@@ -111,8 +111,12 @@ def test_stream_resumes(spark, folder, tmp_path_factory):
     assert spark.read.parquet(table).count() == 12
     with open(f"{folder}/labmodel_my_set_11.json", "w") as f:
         json.dump(batch(4), f)
+    with open(f"{folder}/labmodel_my_set_12.json", "w") as f:
+        f.write('[{"layer_0": [1.0')
     layer_streams.ingest_batches(spark, folder, table, state)
     assert spark.read.parquet(table).count() == 20
+    errors = [r.file_name for r in spark.read.parquet(f"{table}-errors").collect()]
+    assert "labmodel_my_set_12.json" in errors
 
 
 def test_stream_stats_stay_current(spark, tmp_path):
@@ -121,13 +125,18 @@ def test_stream_stats_stay_current(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, 3.0])], schema).write.parquet(source)
     stream = lambda: layer_streams.vector_stream(spark, source, spark.read.parquet(source).schema)
     layer_streams.stream_layer_stats(stream(), table, state)
-    assert spark.read.parquet(table).first().value_mean == 2.0
+    assert layer_streams.latest_layer_stats(spark, table).first().value_mean == 2.0
     spark.createDataFrame([(0, [5.0, 7.0])], schema).write.mode("append").parquet(source)
     layer_streams.stream_layer_stats(stream(), table, state)
-    r = spark.read.parquet(table).first()
+    r = layer_streams.latest_layer_stats(spark, table).first()
     assert (r.n_values, r.value_mean, r.value_max) == (4, 4.0, 7.0)
 
 
+def test_stream_stats_far_from_zero(spark):
+    df = spark.createDataFrame([(0, [1e8]), (0, [1e8 + 1])], "layer int, vec array<double>")
+    assert layer_streams.running_layer_stats(df).first().value_std == 0.5
+
+
 def test_corpora_end_to_end(spark, tmp_path):
     paths = []
     for name, lines in (

@@ -35,13 +35,6 @@ def silhouette(dist, label):
     return np.mean(scores)
 
 
-def _dense_and_classes(df):
-    dense = df.select("layer", F.col("label").alias("_label"), F.col("vec").alias("_vec"))
-    m = S._moments(dense, ["layer", "_label"], "_vec")
-    q = F.aggregate(F.zip_with("mean", "m2", lambda a, b: a * a + b / F.col("n")), F.lit(0.0), lambda a, v: a + v)
-    return dense, m.select("layer", F.col("_label").alias("c"), "n", F.col("mean").alias("m"), q.alias("q"))
-
-
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_silhouettes(spark, points, block_rows):
     vec, label = points
@@ -52,8 +45,6 @@ def test_silhouettes(spark, points, block_rows):
     assert -1 <= exact <= 1
     scalable = S.squared_silhouette(df, ["layer"]).first().silhouette
     assert scalable == pytest.approx(silhouette(sq, label), abs=1e-8)
-    joined = S._class_means_joined(*_dense_and_classes(df), ["layer"])
-    assert S._silhouette_from_means(joined, ["layer"]).first().silhouette == pytest.approx(scalable, abs=1e-8)
     dist = S.class_distances(df, ["layer"], block_rows=block_rows)
     assert dist.count() == 120 * len(set(label))
     assert dist.agg(F.sum("dist_n")).first()[0] == 120 * 120
@@ -66,6 +57,16 @@ def test_silhouette_single_class(spark, points):
     assert S.squared_silhouette(df, ["layer"]).first().silhouette == -1
 
 
+def test_squared_silhouette_without_labels_and_with_nan(spark, points):
+    vec, label = points
+    df = frame(spark, vec, label)
+    nobody = spark.createDataFrame([("k", 900, None, [9.0] * 5)], df.schema)
+    whole = S.squared_silhouette(df, ["layer"]).first().silhouette
+    assert S.squared_silhouette(df.unionByName(nobody), ["layer"]).first().silhouette == pytest.approx(whole)
+    odd = spark.createDataFrame([("k", 901, 1, [float("nan")] * 5)], df.schema)
+    assert S.squared_silhouette(df.unionByName(odd), ["layer"]).first().silhouette == -1
+
+
 def test_value_stats_with_ragged_vectors(spark):
     rows = [("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("a", [10.0]), ("a", []), ("b", [0.0, 0.0])]
     df = spark.createDataFrame(rows, "layer string, vec array<double>")
@@ -199,3 +200,18 @@ def test_density_integrates_to_one(spark):
     df = spark.range(500).select((F.col("id") % 37).cast("double").alias("v"))
     d = C.density_estimate(df, "v", 200, 6).orderBy("point").toPandas()
     assert np.trapezoid(d.density, d.x) == pytest.approx(1, abs=1e-3)
+
+
+def test_small_p_values_keep_their_digits(spark):
+    import math
+
+    from layerlab.functions.significance import student_t_two_sided_p
+
+    ts = [0.5, 1.0, 1.99, 2.0, 2.01, 10.0, 1e4, 3e4, 1e6]
+    df = spark.createDataFrame([(t,) for t in ts], "t double")
+    for r in df.select("t", student_t_two_sided_p(F.col("t"), 4).alias("p")).collect():
+        # for four degrees of freedom 1 - s - s c^2 / 2 with s = t / sqrt(4 + t^2)
+        c2 = 4 / (4 + r.t**2)
+        s = math.sqrt(1 - c2)
+        want = c2**2 * (2 + s) / (2 * (1 + s) ** 2)
+        assert abs(r.p / want - 1) < 1e-9, r.t
