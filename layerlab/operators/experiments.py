@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from layerlab.functions.fixed_values import TUNING_GRID, TUNING_LOSSES
 from layerlab.functions.significance import student_t_two_sided_p
 from layerlab.functions.vectors import neg_log10
+from layerlab.operators.evaluation import multilabel_metrics
 from layerlab.plans.ordering import running_sums
 
 
@@ -40,6 +41,19 @@ def hyperparameter_grid(tasks: DataFrame, task: str = "task") -> DataFrame:
     return out.withColumn("status", F.when(bad, "unsupported").otherwise("planned"))
 
 
+def experiment_results(predictions: DataFrame, keys: Sequence[str], multilabel: bool = False) -> DataFrame:
+    """acc and hamming loss per experiment, from rows of predictions.
+
+    Single-label rows have `y` and `yhat`; multi-label rows `bits` and `pred`, with
+    the share of rows that are right in all labels as acc.
+    """
+    if multilabel:
+        scored = multilabel_metrics(predictions, keys)
+        return scored.select(*keys, F.col("exact_match").alias("acc"), F.col("hamming_loss").alias("hamming"))
+    right = F.avg((F.col("y") == F.col("yhat")).cast("double"))
+    return predictions.groupBy(*keys).agg(right.alias("acc"), (1.0 - right).alias("hamming"))
+
+
 def parse_result_key(key: Column) -> tuple[Column, Column]:
     """`layer_{i}_{d}HL` -> (layer, depth); nulls for other keys."""
     layer = F.regexp_extract(key, r"^[^_]*_(\d+)_(\d+)(?:HL)?(?:_.*)?$", 1).try_cast("int")

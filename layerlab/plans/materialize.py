@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_OWNERS: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to one folder, which is removed at the end.
+
+    Results must be written, or collected, before the block ends; an intermediate
+    table that is read later is gone.
+    """
+    path = f"{shared_dir(spark)}/layerlab/run-{uuid.uuid4().hex}"
+    _OWNERS.append(path)
+    try:
+        yield path
+    finally:
+        _OWNERS.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/layerlab/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of the innermost `scratch`, or in the shared folder."""
+    base = _OWNERS[-1] if _OWNERS else f"{shared_dir(spark)}/layerlab"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

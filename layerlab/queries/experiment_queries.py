@@ -8,7 +8,9 @@ from layerlab.operators import experiments as X
 from layerlab.queries.base import (
     DEPTHS,
     EPOCHS_SQL,
+    PRED_SQL,
     RESULTS_SQL,
+    predictions,
     query,
     r6,
     results,
@@ -229,3 +231,10 @@ def t5(spark, d):
     return X.sort_trials(trials, "accuracy")
 
 
+@query(
+    "x1_experiment_results",
+    f"""WITH {PRED_SQL} SELECT layer, depth, {s6('avg((y = yhat)::INTEGER)')} AS acc, {s6('1 - avg((y = yhat)::INTEGER)')} AS hamming
+    FROM pred GROUP BY ALL""",
+)
+def x1(spark, d):
+    return _rounded(X.experiment_results(predictions(spark, d), ["layer", "depth"]), ["acc", "hamming"])

@@ -156,3 +156,13 @@ def test_hash_bins_stay_small():
     for rows in (0, 10**6, 10**9, 10**12, 10**15):
         assert rows / 16 ** hash_digits(rows) <= BIN_ROWS / 2
     assert hash_digits(10**9) == 3 and 16 ** hash_digits(10**12) <= BIN_ROWS * 16
+
+
+def test_scratch_folder_is_removed(spark):
+    import os
+
+    with M.scratch(spark) as folder:
+        kept = M.via_parquet(spark.range(5), "numbers")
+        assert kept.count() == 5 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert not M.scratch_path(spark, "x").startswith(folder)

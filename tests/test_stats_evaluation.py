@@ -215,3 +215,11 @@ def test_small_p_values_keep_their_digits(spark):
         s = math.sqrt(1 - c2)
         want = c2**2 * (2 + s) / (2 * (1 + s) ** 2)
         assert abs(r.p / want - 1) < 1e-9, r.t
+
+
+def test_experiment_results(spark):
+    one = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 0, 0)], "layer string, y int, yhat int")
+    got = {r.layer: (r.acc, r.hamming) for r in X.experiment_results(one, ["layer"]).collect()}
+    assert got == {"a": (0.5, 0.5), "b": (1.0, 0.0)}
+    many = spark.createDataFrame([("a", [1, 0], [1, 1]), ("a", [0, 0], [0, 0])], "layer string, bits array<int>, pred array<int>")
+    assert X.experiment_results(many, ["layer"], multilabel=True).first()[1:] == (0.5, 0.25)
