@@ -166,7 +166,8 @@ def _word_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
             columns = [batch.column("text_key"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["text_key", "words"])
 
-    joined = numbered(docs).join(rows, ["doc", "mark"]).select("text_key", "text")
+    # a merge at any size: rows grow with the corpus, so a broadcast would not last
+    joined = numbered(docs).join(rows.hint("merge"), ["doc", "mark"]).select("text_key", "text")
     return joined.dropDuplicates(["text_key"]).mapInArrow(words, "text_key binary, words binary")
 
 
@@ -185,12 +186,21 @@ def _links(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
         out = [batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())]
         yield pa.RecordBatch.from_arrays(out, names=["a", "b", "similarity"]).filter(good)
 
-    first = words.select(F.col("text_key").alias("a"), F.col("words").alias("words_a"))
-    second = words.select(F.col("text_key").alias("b"), F.col("words").alias("words_b"))
+    first = words.select(F.col("text_key").alias("a"), F.col("words").alias("words_a")).hint("merge")
+    second = words.select(F.col("text_key").alias("b"), F.col("words").alias("words_b")).hint("merge")
     rows = pairs.join(first, "a").join(second, "b").select("a", "words_a", "b", "words_b")
     return map_batches(rows, verify, "a binary, b binary, similarity double")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table, written in a few files for each core and read again.
+
+    The rounds below make many such tables; one file for each shuffle partition
+    would cost more than what is in them.
+    """
+    return via_parquet(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of undirected links (a, b); the root is the least node.
 
@@ -198,17 +208,17 @@ def components(links: DataFrame) -> DataFrame:
     shortened by doubling, and links are drawn anew between the roots: the nodes
     that still have links at least halve with each turn.
     """
-    edges = via_parquet(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    edges = _kept(links.select("a", "b").filter("a <> b").distinct(), "edges")
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = via_parquet(
+        hooks = _kept(
             both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")),
             "hooks",
         )
         while True:
             next_hop = hooks.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            further = via_parquet(hooks.join(next_hop, "root").select("node", "root", "far"), "hooks")
+            further = _kept(hooks.join(next_hop, "root").select("node", "root", "far"), "hooks")
             moved = further.filter("root <> far").limit(1).count()
             hooks = further.select("node", F.col("far").alias("root"))
             if not moved:
@@ -218,34 +228,39 @@ def components(links: DataFrame) -> DataFrame:
         else:
             step = hooks.select(F.col("node").alias("root"), F.col("root").alias("far"))
             moved_roots = roots.join(step, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-            roots = via_parquet(moved_roots, "roots")
+            roots = _kept(moved_roots, "roots")
         for side in ("a", "b"):
             to = hooks.select(F.col("node").alias(side), F.col("root").alias("to"))
             edges = edges.join(to, side).drop(side).withColumnRenamed("to", side)
-        edges = via_parquet(edges.filter("a <> b").distinct(), "edges")
+        edges = _kept(edges.filter("a <> b").distinct(), "edges")
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     return roots
 
 
-def text_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): links between different word sequences; rows of text_sketches."""
+def text_links(
+    docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
+) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, similarity) between word sequences and their components, or none.
+
+    `rows` as from text_sketches.
+    """
     texts = rows.groupBy("text_key").agg(
         F.min(F.struct("doc", "mark")).alias("row"), F.first("n").alias("n"), F.first("sketches").alias("sketches")
     )
     groups = texts.select("text_key", "n", "row", F.explode("sketches").alias("sketch"))
     shared = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    active = via_parquet(groups.join(shared, "sketch"), "sketch-groups")
+    active = _kept(groups.join(shared.hint("merge"), "sketch"), "sketch-groups")
     weight = active.groupBy("text_key").agg(F.sum("size").alias("weight"), F.first("row").alias("row"))
-    weight = via_parquet(weight, "text-weights")
+    weight = _kept(weight, "text-weights")
     words = via_parquet(_word_table(docs, weight.select("row.*", "text_key")), "words")
-    active = via_parquet(
+    active = _kept(
         active.join(weight.select("text_key", "weight"), "text_key").select(
             "sketch", "text_key", "n", "weight", F.col("text_key").alias("root")
         ),
         "sketch-groups",
     )
-    found = None
+    found = roots = None
     while True:
         rank = F.struct("weight", "text_key")
         leaders = (
@@ -253,7 +268,7 @@ def text_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
             .agg(F.max(rank).alias("top"), F.max_by("root", rank).alias("top_root"), F.max_by("n", rank).alias("top_n"))
             .select("sketch", F.col("top.text_key").alias("b"), "top_root", "top_n")
         )
-        leaders = via_parquet(leaders, "leaders")
+        leaders = _kept(leaders, "leaders")
         alike = F.least("n", "top_n") >= F.greatest("n", "top_n") * least
         pairs = (
             active.join(leaders, "sketch")
@@ -261,7 +276,7 @@ def text_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
             .select(F.col("text_key").alias("a"), "b")
             .distinct()
         )
-        new = via_parquet(_links(via_parquet(pairs, "pairs"), words, least), "links")
+        new = _kept(_links(_kept(pairs, "pairs"), words, least), "links")
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
@@ -269,10 +284,10 @@ def text_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
         led = leaders.select("sketch", F.col("b").alias("text_key"))
         rest = active.join(led, ["sketch", "text_key"], "left_anti").drop("root")
         named = rest.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
-        named = via_parquet(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
+        named = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
         several = named.groupBy("sketch").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-        active = via_parquet(named.join(several.select("sketch"), "sketch", "left_semi"), "sketch-groups")
-    return new if found is None else found
+        active = _kept(named.join(several.select("sketch"), "sketch", "left_semi"), "sketch-groups")
+    return (new, components(new)) if found is None else (found, roots)
 
 
 def near_duplicates(
@@ -284,21 +299,20 @@ def near_duplicates(
     """
     docs = documents(docs, id_col, text_col)
     rows = via_parquet(text_sketches(docs), "sketches")
-    links = text_links(docs, rows, least)
+    links, roots = text_links(docs, rows, least)
     ends = links.select(F.col("a").alias("text_key"), "b").unionByName(
         links.select(F.col("b").alias("text_key"), F.col("a").alias("b"))
     )
     degree = ends.groupBy("text_key").agg(F.countDistinct("b").alias("n_links"))
     texts = rows.groupBy("text_key").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
-    roots = components(links).withColumnRenamed("node", "text_key")
-    named = texts.join(roots, "text_key", "left").join(degree, "text_key", "left")
-    named = via_parquet(named.withColumn("root", F.coalesce("root", "text_key")), "classed-texts")
+    named = texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").join(degree, "text_key", "left")
+    named = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "classed-texts")
     classes = named.groupBy("root").agg(F.min("first_doc").alias("class_doc"), F.sum("copies").alias("class_size"))
-    classes = via_parquet(classes, "classes")
+    classes = _kept(classes, "classes")
     verdicts = named.join(classes, "root").select(
         "text_key", "class_doc", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    verdicts = via_parquet(verdicts, "verdicts")
+    verdicts = _kept(verdicts, "verdicts")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return rows.select("doc", "mark", "text_key").join(verdicts, "text_key").select(
         known("doc").alias("doc_id"),
