@@ -43,6 +43,14 @@ HEADLINE = [
     "w1_assign_row_id",
     "w6_stratified_split",
     "a30_batch_throughput",
+    "a7_layer_value_median",
+    "a8_file_global_stats",
+    "j7_class_distances",
+    "m13_project_2d",
+    "s3_read_layer_vectors",
+    "s9_write_layer_vectors",
+    "r1_stream_ingest_batches",
+    "r2_stream_layer_stats",
 ]
 
 
