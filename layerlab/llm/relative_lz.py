@@ -10,10 +10,11 @@ place whose window is indexed, the factor goes on as long as the reference does.
 Where a factor ends, the windows that begin in it and end after it are looked up
 on their own. All factors have `window` words at least and are duplicate spans.
 
-Blocks are dealt by range of (block, document). A block that fits its range is
-factored in one streaming pass. The blocks at the ends of a range may go on in
-another one: a passage in a third of all documents is in many. Their windows are
-rows of a grouped minimum and a join instead, which split as far as needed.
+Blocks are dealt by range of (block, document) and factored range by range. The
+blocks at the ends of a range may go on in another one: a passage in a third of
+all documents is in many. There, what an earlier document of the same range has is
+settled in the range too; of each window only the first places are left, and these
+few are compared between the ranges by a grouped minimum and a join.
 
 Windows are compared by 64 bits of the block and 32 more of the window.
 
@@ -90,23 +91,27 @@ def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return numbered(docs).mapInArrow(cut, SEGMENT)
 
 
-def factors(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
-    """(row, first window, end) of greedy factors; rows of one block by document."""
+def factors(rows: list[tuple[int, list[int]]], misses: list | None = None) -> Iterator[tuple[int, int, int]]:
+    """(row, first window, end) of greedy factors; rows of one block by document.
+
+    `misses` gets the (row, window) that no earlier document has.
+    """
     index: dict[int, tuple[int, int]] = {}
-    texts = [w.tolist() for _, w in rows]
     new = 0  # rows from here on belong to the document at hand
-    for row, (doc, _) in enumerate(rows):
+    for row, (doc, own) in enumerate(rows):
         while rows[new][0] != doc:
-            for k, w in enumerate(texts[new]):
+            for k, w in enumerate(rows[new][1]):
                 index.setdefault(w, (new, k))
             new += 1
-        own, at = texts[row], 0
+        at = 0
         while at < len(own):
             found = index.get(own[at])
             if found is None:
+                if misses is not None:
+                    misses.append((row, at))
                 at += 1
                 continue
-            other, k = texts[found[0]], found[1]
+            other, k = rows[found[0]][1], found[1]
             end = at + 1
             while end < len(own) and k + end - at < len(other) and other[k + end - at] == own[end]:
                 end += 1
@@ -117,36 +122,38 @@ def factors(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int]
 def factored_ranges(window: int):
     """Pass over a range sorted by block and document.
 
-    Yields spans (windows null) and the rows of blocks that may be open (windows set).
+    Yields spans (block null) and the unmatched windows of blocks that may be open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(block: list) -> tuple[list, list, list]:
-            docs, places, ends = [], [], []
-            for row, first, end in factors([(b[1], b[3]) for b in block]):
-                docs.append(block[row][1])
-                places.append(block[row][2] + (first << 32))
-                ends.append((block[row][2] >> 32) + end - 1 + window)
-            return docs, places, ends
-
-        def raw(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nothing = pa.nulls(len(batch), pa.int64())
-            return pa.RecordBatch.from_arrays([*batch.columns, nothing], names=[*batch.schema.names, "end"])
-
         held: list[pa.RecordBatch] = []  # rows of the last block
-        opening = None  # the first block of the range, open without a look
+        at_start = True  # the first block of the range has not ended yet
+
+        def solved(rows: pa.RecordBatch, bounds: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+            docs, places = np.asarray(rows.column("doc")), np.asarray(rows.column("place"))
+            windows, blocks = rows.column("windows"), rows.column("block")
+            out: list[tuple] = []
+            for low, high, is_open in bounds:
+                own = [
+                    (int(docs[i]), np.frombuffer(windows[i].as_buffer(), np.uint32).tolist())
+                    for i in range(low, high)
+                ]
+                misses: list[tuple[int, int]] | None = [] if is_open else None
+                for row, first, end in factors(own, misses):
+                    place = int(places[low + row])
+                    out.append((None, own[row][0], place + (first << 32), None, (place >> 32) + end - 1 + window))
+                for row, k in misses or ():
+                    place = int(places[low + row]) + (k << 32)
+                    out.append((blocks[low].as_py(), own[row][0], place, own[row][1][k], None))
+            names = ["block", "doc", "place", "hashed", "end"]
+            columns = zip(*out) if out else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
         for batch in batches:
             if not len(batch):
                 continue
-            blocks = np.asarray(batch.column("block"))
-            opening = blocks[0] if opening is None else opening
-            if not held and blocks[0] == opening:
-                n = int(np.searchsorted(blocks, opening, side="right"))
-                yield raw(batch.slice(0, n))
-                batch, blocks = batch.slice(n), blocks[n:]
-                if not len(batch):
-                    continue
             held.append(batch)
+            blocks = np.asarray(batch.column("block"))
             if blocks[-1] == held[0].column("block")[0].as_py():
                 continue  # all of one block so far
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -154,26 +161,15 @@ def factored_ranges(window: int):
             starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
             ends = starts[1:]
             several = docs[ends - 1] != docs[starts[:-1]]
-            places, windows = np.asarray(rows.column("place")), rows.column("windows")
-            found: tuple[list, list, list] = ([], [], [])
-            for k in np.flatnonzero(several):
-                own = [
-                    (0, int(docs[i]), int(places[i]), np.frombuffer(windows[i].as_buffer(), np.uint32))
-                    for i in range(starts[k], ends[k])
-                ]
-                for into, x in zip(found, spans(own)):
-                    into.extend(x)
-            n = len(found[0])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(n, pa.int64()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
-                    pa.nulls(n, pa.binary()), pa.array(found[2], pa.int64()),
-                ],
-                names=["block", "doc", "place", "windows", "end"],
-            )
+            bounds = [(starts[k], ends[k], False) for k in np.flatnonzero(several)]
+            if at_start:
+                bounds = [(starts[0], ends[0], True)] + [b for b in bounds if b[0]]
+                at_start = False
+            yield solved(rows, bounds)
             held = [rows.slice(starts[-1])]
-        for batch in held:
-            yield raw(batch)
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield solved(rows, [(0, len(rows), True)])
 
     return run
 
@@ -188,21 +184,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .repartitionByRange("block", "doc")
         .sortWithinPartitions("block", "doc")
     )
-    passed = ranges.mapInArrow(factored_ranges(window), f"{SEGMENT}, end long")
-    found = via_parquet(passed, "factors")
-    closed = found.filter("windows IS NULL").select("doc", "place", "end")
-    number = F.posexplode(
-        F.sequence(F.lit(0), (F.octet_length("windows") / 4 - 1).cast("int"))
-    )
-    rows = found.filter("windows IS NOT NULL")
-    one = rows.select("block", "doc", "place", "windows", number.alias("k", "k0")).select(
-        "block",
-        F.substring("windows", F.col("k") * 4 + 1, F.lit(4)).alias("hashed"),
-        "doc",
-        (F.col("place") + F.col("k").cast("long") * (1 << 32)).alias("place"),
-    )
-    one = via_parquet(one, "open-windows")
-    least = via_parquet(one.groupBy("block", "hashed").agg(F.min("doc").alias("least")), "open-least")
+    schema = "block long, doc long, place long, hashed long, end long"
+    found = via_parquet(ranges.mapInArrow(factored_ranges(window), schema), "factors")
+    closed = found.filter("block IS NULL").select("doc", "place", "end")
+    one = found.filter("block IS NOT NULL").select("block", "hashed", "doc", "place")
+    least = via_parquet(one.groupBy("block", "hashed").agg(F.min("doc").alias("least")), "open-windows")
     opened = (
         one.join(least, ["block", "hashed"])
         .filter("least < doc")
