@@ -8,7 +8,7 @@ built apart:
 
 1. Grams that occur once are dropped; they are sorted as hashes, without texts.
 2. For the others the bytes around each occurrence (the segment of all windows
-   with that minimiser) are dealt by range of (gram, bytes) and sorted.
+   with that minimiser) are dealt by range of (gram, bytes, document) and sorted.
 3. Equal segments are repeats as a whole. The distinct ones of a gram are put in
    suffix order from the gram on; a stack scan over the lengths of the common
    prefixes gives the intervals of the tree. In an interval of depth R the
@@ -16,8 +16,9 @@ built apart:
    (left diversity) a group ends, and groups with a common left part of at least
    `window` - R bytes are maximal repeats. All occurrences of a group come out.
 4. The grams at the ends of a range may go on in the next one, as a passage does
-   that is in a third of all documents. Their windows are counted by a grouped
-   aggregate and a join instead, which split as far as needed.
+   that is in a third of all documents. Each of their windows then goes out once
+   for each range, and a grouped count and a join tell those that other ranges
+   have too.
 
 Defined results: null texts have no bytes; texts shorter than a window have no
 repeats. Equal texts under one id or none are copies of each other. Matches never
@@ -27,6 +28,7 @@ cross documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -194,86 +196,103 @@ def maximal_repeats(members: list[tuple[bytes, int]], window: int) -> Iterator[t
             begin = k
 
 
-def repeats_of_ranges(window: int):
+def repeats_of_ranges(window: int, every: bool):
     """Pass over a range sorted by gram and bytes.
 
-    Yields occurrences (gram null) and the rows of grams that may be open.
+    Intervals come from the deepest up, so an occurrence covers bytes that the
+    ones before it did not only if it starts earlier. Others are left out unless
+    `every` asks for the whole groups.
+
+    Yields occurrences (gram null) and, for the grams that may be open, every
+    window of the range once: (gram, h1, h2) with the place where it still has to
+    be looked up elsewhere, or none if it is known to be repeated.
     """
-    names = ["gram", "bytes", "at", "doc", "place", "end", "repeat"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+    names = ["gram", "h1", "h2", "doc", "place", "end", "repeat"]
 
-    def occurrence(doc: int, place: int, start: int, end: int, repeat: int) -> tuple:
-        base = place >> 32
-        return None, None, None, doc, place + (start << 32), base + end, repeat
+    def occurrence(row: tuple, start: int, end: int, repeat: int) -> tuple:
+        doc, place = row[3:5]
+        return None, None, None, doc, place + (start << 32), (place >> 32) + end, repeat
 
-    def solved(members: list[tuple], copied: list[bool], window: int) -> Iterator[tuple]:
+    def solved(members: list[tuple], copied: list[bool], is_open: bool) -> Iterator[tuple]:
+        covered = [[(0, len(m[1]))] if c else [] for m, c in zip(members, copied)]
         for k, start, end, repeat in maximal_repeats([(m[1], m[2]) for m in members], window):
-            if not copied[k]:  # copies are repeats as a whole already
-                yield occurrence(members[k][3], members[k][4], start, end, repeat)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opening = None  # first gram of the range: open without a look
+            new = not covered[k] or start < covered[k][-1][0]
+            if new or every:
+                yield occurrence(members[k], start, end, repeat)
+            if new:
+                covered[k].append((start, end))
+        if not is_open:
+            return
+        seen: set[bytes] = set()
+        for row, spans in zip(members, covered):
+            known = np.zeros(len(row[1]) - window + 1, bool)
+            for start, end in spans:
+                known[start : end - window + 1] = True
+            for k, settled in enumerate(known.tolist()):
+                digest = xxhash.xxh3_128_digest(row[1][k : k + window])
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                h1, h2 = np.frombuffer(digest, np.int64).tolist()
+                place = None if settled else row[4] + (k << 32)
+                yield row[0], h1, h2, row[3], place, None, None
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        opening = None  # first gram of the range
         members: list[tuple] = []  # distinct segments of the gram at hand
         copied: list[bool] = []
-        out: list[tuple] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*rows) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in names[:5])):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "bytes", "at", "doc", "place"))):
                 opening = row[0] if opening is None else opening
-                if row[0] == opening:
-                    out.append((*row, None, None))
-                elif members and members[-1][0] == row[0] and members[-1][1] == row[1]:
+                if members and members[-1][0] == row[0] and members[-1][1] == row[1]:
                     repeat = xxhash.xxh3_64_intdigest(row[1]) - (1 << 63)
                     if not copied[-1]:
                         copied[-1] = True
-                        m = members[-1]
-                        out.append(occurrence(m[3], m[4], 0, len(m[1]), repeat))
-                    out.append(occurrence(row[3], row[4], 0, len(row[1]), repeat))
+                        yield occurrence(members[-1], 0, len(row[1]), repeat)
+                    yield occurrence(row, 0, len(row[1]), repeat)
                 else:
                     if members and members[-1][0] != row[0]:
-                        if len(members) > 1:
-                            out.extend(solved(members, copied, window))
+                        is_open = members[-1][0] == opening
+                        if is_open or len(members) > 1:
+                            yield from solved(members, copied, is_open)
                         members, copied = [], []
                     members.append(row)
                     copied.append(False)
-                if len(out) >= 8192:
-                    yield batch_of(out)
-                    out = []
-        # of the last gram one row for each distinct segment is enough for the others
-        # elsewhere, and copies found here are final
-        out.extend((*m, None, None) for m in members)
-        yield batch_of(out)
+        if members:
+            yield from solved(members, copied, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = results(batches)
+        while part := list(islice(rows, 8192)):
+            columns = [pa.array(c, pa.int64()) for c in zip(*part)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, mark, start, end, repeat): every occurrence of a maximal repeat.
+def repeated_spans(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, every: bool = False
+) -> DataFrame:
+    """(doc, mark, start, end, repeat): occurrences of maximal repeats.
 
-    `docs` as from common.documents.
+    `docs` as from common.documents. With `every` all occurrences of each group,
+    otherwise those that cover bytes not covered by a longer match to the right.
     """
     rows = segments_of(docs, repeated_grams(docs, window, gram), window, gram)
-    ranges = rows.repartitionByRange("gram", "bytes").sortWithinPartitions("gram", "bytes")
-    passed = ranges.mapInArrow(repeats_of_ranges(window), f"{SEGMENT}, end long, repeat long")
-    found = via_parquet(passed, "repeats")
+    # the document is in the range key so that copies of one segment are dealt out too
+    ranges = rows.repartitionByRange("gram", "bytes", "doc").sortWithinPartitions("gram", "bytes")
+    schema = "gram long, h1 long, h2 long, doc long, place long, end long, repeat long"
+    found = via_parquet(ranges.mapInArrow(repeats_of_ranges(window, every), schema), "repeats")
     mark = F.col("place").bitwiseAND(0xFFFFFFFF).alias("mark")
     start = F.shiftright("place", 32).alias("start")
     closed = found.filter("gram IS NULL").select("doc", mark, start, "end", "repeat")
-    number = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - window)).alias("k")
-    one = (
-        found.filter("gram IS NOT NULL")
-        .select("gram", "bytes", "doc", "place", number)
-        .select("gram", F.substring("bytes", F.col("k") + 1, F.lit(window)).alias("w"), "doc", mark, (start + F.col("k")).alias("start"))
-        .select("gram", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), "doc", "mark", "start")
+    one, key = found.filter("gram IS NOT NULL"), ["gram", "h1", "h2"]
+    again = one.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    opened = (
+        one.filter("place IS NOT NULL")
+        .join(via_parquet(again, "open-windows"), key)
+        .select("doc", mark, start, (start + window).alias("end"), F.col("h1").alias("repeat"))
     )
-    one = via_parquet(one, "open-windows")
-    key = ["gram", "h1", "h2"]
-    again = via_parquet(one.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "open-repeats")
-    opened = one.join(again, key).select("doc", "mark", "start", (F.col("start") + window).alias("end"), F.col("h1").alias("repeat"))
     return closed.unionByName(opened)
 
 
