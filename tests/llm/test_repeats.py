@@ -125,7 +125,7 @@ def test_ids_that_are_null_or_repeated(docs, text_of):
 def test_repeat_groups_have_all_occurrences(docs, text_of):
     common = " ".join(text_of(3, 80))
     rows = [(k, f"{' '.join(text_of(50 + k, 9))} {common} {' '.join(text_of(80 + k, 9))}") for k in range(5)]
-    spans = repeats.repeated_spans(documents(docs(rows))).collect()
+    spans = repeats.repeated_spans(documents(docs(rows)), every=True).collect()
     by_doc = defaultdict(set)
     for s in spans:
         by_doc[s.doc].add(s.repeat)
