@@ -193,12 +193,15 @@ def _links(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A narrow table, written in a few files for each core and read again.
+    """A narrow table, written in one file for several shuffle partitions and read again.
 
-    The rounds below make many such tables; one file for each shuffle partition
-    would cost more than what is in them.
+    The rounds below make many such tables; one file for each partition would cost
+    more than what is in them.
     """
-    return via_parquet(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(2 * spark.sparkContext.defaultParallelism, partitions // 8)
+    return via_parquet(df.coalesce(files), name)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,11 +253,11 @@ def text_links(
     )
     groups = texts.select("text_key", "n", "row", F.explode("sketches").alias("sketch"))
     shared = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    active = _kept(groups.join(shared.hint("merge"), "sketch"), "sketch-groups")
+    active = via_parquet(groups.join(shared.hint("merge"), "sketch"), "sketch-groups")
     weight = active.groupBy("text_key").agg(F.sum("size").alias("weight"), F.first("row").alias("row"))
     weight = _kept(weight, "text-weights")
     words = via_parquet(_word_table(docs, weight.select("row.*", "text_key")), "words")
-    active = _kept(
+    active = via_parquet(
         active.join(weight.select("text_key", "weight"), "text_key").select(
             "sketch", "text_key", "n", "weight", F.col("text_key").alias("root")
         ),
