@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from layerlab.plans.materialize import via_parquet
 
-SHARD_ROWS = 1 << 14
+SHARD_ROWS = 1 << 11
 PARTS = 8
 MAX_KICKS = 250
 SHARD_SCHEMA = (
