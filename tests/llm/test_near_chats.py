@@ -114,6 +114,47 @@ def test_classes_of_copies_and_edits(docs, text_of):
     assert all(v.class_size == sizes[v.class_id] and v.kept == (k == v.class_id) for k, v in got.items())
 
 
+def test_groups_are_compared_after_a_round_without_a_link(monkeypatch, docs, text_of):
+    # one sketch for all: every text is led by the original, which is far from all others
+    def one_sketch(shingles):
+        return np.arange(7, 7 + bool(len(shingles)), dtype=np.uint64)
+
+    monkeypatch.setattr(order_minhash, "sketches", one_sketch)
+    body, rows = text_of(3, 100), []
+    for family in range(6):
+        own = list(body)
+        for k in range(5):
+            own[7 + 17 * k + family] = f"f{family}x{k}"
+        for copy in range(3):
+            rows.append((10 * family + copy, " ".join([*own, *(f"end{family}-{j}" for j in range(copy))])))
+    rows.append((99, " ".join(body)))
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 7
+    assert {k: v.class_id for k, v in classes(docs, rows).items()} == want
+    monkeypatch.setattr(order_minhash, "LED_ROUNDS", 1)
+    assert {k: v.class_id for k, v in classes(docs, rows).items()} == want
+
+
+def test_prefix_pairs_hold_every_link(spark, text_of):
+    r, texts = random.Random(5), {}
+    for seed in range(12):
+        body = text_of(seed % 4, r.randrange(6, 60), 60)
+        for _ in range(12):
+            own = list(body)
+            for _ in range(r.randrange(5)):
+                k = r.randrange(len(own) - 4)
+                own[k : k + r.randrange(2)] = [f"e{r.randrange(99)}"] * r.randrange(2)
+            texts[f"{len(texts):03}".encode()] = own
+    hashed = {k: WordHashes().of([w.encode() for w in t]) for k, t in texts.items()}
+    s = {k: labelled_shingles(h) for k, h in hashed.items()}
+    root = {k: k[:2] for k in s}
+    frame = spark.createDataFrame([(bytearray(k), len(s[k]), bytearray(root[k])) for k in s], "text_key binary, n long, root binary")
+    words = spark.createDataFrame([(bytearray(k), bytearray(h.tobytes())) for k, h in hashed.items()], "text_key binary, words binary")
+    got = {(bytes(x.a), bytes(x.b)) for x in order_minhash.prefix_pairs(frame, words, 0.8).collect()}
+    want = {(a, b) for a in s for b in s if a < b and root[a] != root[b] and aligned_similarity(s[a], s[b]) > 0}
+    assert len(want) > 50 and want <= got and all(root[a] != root[b] for a, b in got)
+
+
 def test_null_and_repeated_ids(docs, text_of):
     a, b = " ".join(text_of(1, 50)), " ".join(text_of(2, 50))
     out = order_minhash.near_duplicates(docs([(None, a), (3, a), (3, a), (3, b), (None, b + " end")])).collect()
