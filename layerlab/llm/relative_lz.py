@@ -16,7 +16,7 @@ all documents is in many. There, what an earlier document of the same range has
 settled in the range too; of each window only the first places are left, and these
 few are compared between the ranges by a grouped minimum and a join.
 
-Windows are compared by 64 bits of the block and 32 more of the window.
+Windows are compared by 64 bits of the block and 64 more of the window.
 
 Defined results: null texts have no words. A row without an id comes after all
 others and is no reference. Rows with the same id are no reference for each
@@ -61,7 +61,7 @@ def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         def out() -> pa.RecordBatch:
             blocks, ids, places, counts, hashed = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            ends = np.concatenate(([0], np.cumsum(4 * counts))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(8 * counts))).astype(np.int32)
             data = pa.Array.from_buffers(
                 pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(hashed)]
             )
@@ -78,7 +78,7 @@ def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     first, end, _, block = segments(units, window, GRAM)
                     if not len(first):
                         continue
-                    hashed = (gram_hashes(units, window) >> np.uint64(32)).astype(np.uint32)
+                    hashed = gram_hashes(units, window)
                     ids = np.full(len(first), doc, np.int64)
                     held.append((block, ids, (first + low) << 32 | mark, end - first, hashed))
                     size += len(units)
@@ -135,7 +135,7 @@ def factored_ranges(window: int):
             out: list[tuple] = []
             for low, high, is_open in bounds:
                 own = [
-                    (int(docs[i]), np.frombuffer(windows[i].as_buffer(), np.uint32).tolist())
+                    (int(docs[i]), np.frombuffer(windows[i].as_buffer(), np.int64).tolist())
                     for i in range(low, high)
                 ]
                 misses: list[tuple[int, int]] | None = [] if is_open else None

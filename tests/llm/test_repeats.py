@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from layerlab.llm import relative_lz, repeats
-from layerlab.llm.common import documents, gram_hashes, leftmost_minima
+from layerlab.llm.common import WordHashes, documents, gram_hashes, leftmost_minima
 
 import numpy as np
 
@@ -148,6 +148,26 @@ def test_tree_against_all_pairs():
         assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_windows_alike_in_half_their_bits(monkeypatch, spark, docs, partitions):
+    # hashes that differ in their lower 32 bits only; all windows are in the block of a hot gram
+    grams = [[f"h{k}a", f"h{k}b", f"h{k}c"] for k in range(2000)]
+    hot = min(grams, key=lambda g: int(gram_hashes(WordHashes().of([w.encode() for w in g]), 3)[0]))
+
+    def lower_half_only(units, k):
+        hashes = gram_hashes(units, k)
+        return hashes & np.uint64(0xFFFFFFFF) if k == relative_lz.WINDOW else hashes
+
+    monkeypatch.setattr(relative_lz, "gram_hashes", lower_half_only)
+    rows = [(k, " ".join([f"d{k}a{j}" for j in range(6)] + hot + [f"d{k}b{j}" for j in range(6)])) for k in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = relative_lz.substring_dedup(docs(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert {r.doc_id: r.n_removed for r in out} == {k: 0 for k in range(60)}
+
+
 def test_factors_end_where_the_reference_does():
     rows = [(1, [1, 2, 3]), (2, [7, 1, 2, 9, 3]), (2, [7]), (3, [7, 1, 2, 3])]
     misses = []
