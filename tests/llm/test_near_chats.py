@@ -155,6 +155,17 @@ def test_prefix_pairs_hold_every_link(spark, text_of):
     assert len(want) > 50 and want <= got and all(root[a] != root[b] for a, b in got)
 
 
+def test_short_texts_against_brute_force(docs, text_of):
+    rows = []
+    for seed in range(60):
+        for k, (n, more) in enumerate([(8, 1), (9, 1), (12, 2), (13, 2), (20, 3), (36, 8)]):
+            words = text_of(100 * seed + k, n + more)
+            rows += [(20 * seed + 2 * k, " ".join(words[:n])), (20 * seed + 2 * k + 1, " ".join(words))]
+    want = brute_classes(rows)
+    assert sum(k != v for k, v in want.items()) == 360
+    assert {k: v.class_id for k, v in classes(docs, rows).items()} == want
+
+
 def test_null_and_repeated_ids(docs, text_of):
     a, b = " ".join(text_of(1, 50)), " ".join(text_of(2, 50))
     out = order_minhash.near_duplicates(docs([(None, a), (3, a), (3, a), (3, b), (None, b + " end")])).collect()
