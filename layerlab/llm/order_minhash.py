@@ -24,7 +24,8 @@ shingles by hash as well (`first_shingles`), of which similar texts share one.
 
 Defined results: a null text has no words. Texts of fewer than five words have no
 shingles and are linked to equal word sequences only; all texts without words are
-equal. The class is named by its smallest id; rows without an id come last. Rows
+equal. The class is named by its smallest id; rows without an id come last. Of
+several texts with the smallest id, or of a class without ids, one is kept. Rows
 with the same id and text share a verdict.
 """
 
@@ -399,21 +400,21 @@ def near_duplicates(
         links.select(F.col("b").alias("text_key"), F.col("a").alias("b"))
     )
     degree = ends.groupBy("text_key").agg(F.countDistinct("b").alias("n_links"))
-    texts = rows.groupBy("text_key").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    texts = rows.groupBy("text_key").agg(F.min(F.struct("doc", "mark", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
     named = texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").join(degree, "text_key", "left")
     named = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "classed-texts")
-    classes = named.groupBy("root").agg(F.min("first_doc").alias("class_doc"), F.sum("copies").alias("class_size"))
+    classes = named.groupBy("root").agg(F.min("first").alias("first_row"), F.sum("copies").alias("class_size"))
     classes = _kept(classes, "classes")
     verdicts = named.join(classes, "root").select(
-        "text_key", "class_doc", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "text_key", "first_row", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     verdicts = _kept(verdicts, "verdicts")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return rows.select("doc", "mark", "text_key").join(verdicts, "text_key").select(
         known("doc").alias("doc_id"),
         "mark",
-        known("class_doc").alias("class_id"),
+        known("first_row.doc").alias("class_id"),
         "class_size",
         "n_links",
-        (F.col("doc") == F.col("class_doc")).alias("kept"),
+        (F.struct("doc", "mark", "text_key") == F.col("first_row")).alias("kept"),
     )

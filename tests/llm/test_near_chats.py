@@ -175,6 +175,13 @@ def test_null_and_repeated_ids(docs, text_of):
     assert order_minhash.near_duplicates(docs([])).count() == 0
 
 
+def test_one_text_is_kept_of_a_class_without_ids(docs, text_of):
+    a, b = text_of(1, 60), text_of(2, 60)
+    rows = [(None, " ".join(a[:n])) for n in (57, 58, 59, 60)] + [(5, " ".join(b[:n])) for n in (58, 59, 60)]
+    out = order_minhash.near_duplicates(docs(rows)).collect()
+    assert sorted((r.class_id or 0, r.class_size, r.kept) for r in out) == [(0, 4, False)] * 3 + [(0, 4, True)] + [(5, 3, False)] * 2 + [(5, 3, True)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(f"{k:03}", f"{k + 1:03}") for k in range(40)] + [("star", f"s{k}") for k in range(30)]
     r = random.Random(1)
