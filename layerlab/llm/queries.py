@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from layerlab.llm import (
     decontaminate,
     exact_dedup,
+    hadamard_kmeans,
+    importance,
     line_dedup,
     order_minhash,
     prefix_bpe,
@@ -17,6 +19,7 @@ from layerlab.llm import (
     repeats,
     reply_trees,
     secret_scan,
+    simhash,
     toxicity,
 )
 from layerlab.llm.common import sha
@@ -244,3 +247,98 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_order_minhash")
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
+
+
+def kmeans_sql(rounds: int = hadamard_kmeans.ROUNDS) -> str:
+    """One pair of tables for each round: assignments and the centroids after them."""
+
+    def assignment(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, v, min(struct_pack(d := d, c := c)) AS m
+  FROM (SELECT e.*, c.c, list_sum(list_transform(list_zip(e.v, c.v),
+          lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM e, c{r} c)
+  GROUP BY rid, vec_id, v)"""
+
+    def centroids(r: int) -> str:
+        return f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS v
+    FROM (SELECT c, pos, sum(x) AS s, count(*) AS n
+          FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY c, pos)
+    GROUP BY c) n ON n.c = c{r}.c)"""
+
+    steps = [f(r) for r in range(rounds) for f in (assignment, centroids)] + [assignment(rounds)]
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+  FROM (SELECT v, sha256('3:' || vec_id) AS h FROM e ORDER BY h LIMIT 8)),{",".join(steps)}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance,
+       sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = m.c
+"""
+
+
+@query("op12_hadamard_kmeans", kmeans_sql())
+def op12_hadamard_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_kmeans.with_inertia(hadamard_kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query(
+    "op13_importance",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crcs),
+f AS (SELECT doc_id, unnest(w) AS word FROM d),
+g AS (SELECT unnest(w) AS word FROM i),
+b AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2),
+      lambda k: ('0x' || substr(h, k, 2))::BIGINT)),
+    lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM f UNION SELECT word FROM g)), t),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (word) GROUP BY bucket),
+u AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM g) AS t_all),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::DOUBLE
+    / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s LEFT JOIN u USING (bucket), n),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN b USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+x AS (
+  SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+             count(*) FILTER (n_features >= 20) OVER () AS n_fit FROM x)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n_fit // 100 THEN place END AS rank
+FROM r
+""",
+)
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance.resampled(docs, target).select(
+        "doc_id", "n_features", "weight", "score", F.col("rank").cast("long")
+    )

@@ -8,7 +8,7 @@ import corpus_pipeline
 from layerlab.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
