@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerlab.functions.fixed_values import PROBE_DEPTHS, TUNING_GRID, TUNING_LOSSES
 from layerlab.operators import evaluation as E
+from layerlab.operators import experiments as X
 from layerlab.operators import layer_stats as S
 from layerlab.operators.tables import apply_split
 from layerlab.plans import probes as P
+from layerlab.plans import tuning as T
 from layerlab.plans.analysis import analyze_layers
+from layerlab.plans.certificates import gradient_rows, within
 from layerlab.plans.encode import HashEncoder, encode_layers
+from layerlab.plans.materialize import via_parquet
 from layerlab.queries.base import (
     LONG_SPLIT_SQL,
     LONG_SQL,
@@ -37,12 +43,6 @@ def layer_summary(spark: SparkSession, sf_dir: str, max_iter: int = 2000) -> Dat
     return analysis.summary
 
 
-def _class_sums(predicted: DataFrame, share: Column) -> DataFrame:
-    """(layer, class, p_sum): sums of `share(class)` over the training rows."""
-    rows = predicted.filter("split = 'train'").select("layer", "y", F.posexplode(share).alias("class", "p"))
-    return rows.groupBy("layer", "class").agg(r6(F.sum("p"), 2).alias("p_sum"))
-
-
 def _softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     shifted = F.transform(logits, lambda x: F.exp(x - top))
@@ -50,62 +50,124 @@ def _softmax(logits: Column) -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
+def _sigmoids(logits: Column) -> Column:
+    return F.transform(logits, lambda x: 1 / (1 + F.exp(-x)))
+
+
 # At the optimum of a penalised fit with free intercepts the predicted
 # probabilities of a class add up to its number of training rows, with weights to
-# its weight. The SQL has these numbers; it needs no fit of its own.
-_CLASS_COUNTS = f"""WITH {LONG_SPLIT_SQL} SELECT layer, label::INTEGER AS class, round(count(*)::DOUBLE, 2) AS p_sum
-  FROM split_long WHERE split = 'train' GROUP BY ALL"""
+# its weight, the gradient of every coefficient is zero, and the loss is lower than
+# that of the class shares. The SQL has these numbers and needs no fit of its own;
+# intercepts alone have a gradient, and no lower loss.
+def _certificate_sql(train: str, sums: str) -> str:
+    return f"""WITH {train}, sums AS ({sums})
+    SELECT layer, class, k::INTEGER AS dim, CASE WHEN k = -2 THEN 1.0::DOUBLE WHEN k = -1 THEN p_sum ELSE 0.0::DOUBLE END AS value
+    FROM sums, range(-2, 16) r(k)"""
+
+
+def _certificate(
+    predicted: DataFrame, models: dict, p: Column, y: Callable[[int], Column], weight: Callable[[int], Column], one_class: bool, digits: int
+) -> DataFrame:
+    """(layer, class, dim, value): gradients; class sums as dim -1, and -2 for a lower loss than the shares."""
+    train = predicted.filter("split = 'train'").withColumn("_p", p)
+    found = gradient_rows(train, models, lambda c: (F.get("_p", F.lit(c)), y(c), weight(c)))
+    near = found.select("layer", "class", "dim", within(F.col("gradient"), F.col("weight_sum")).alias("value"))
+    sums = found.filter("dim = 0").select("layer", "class", F.lit(-1).alias("dim"), r6("p_sum", digits).alias("value"))
+    classes = range(len(next(iter(models.values()))))
+    cells = F.array(*[F.struct(F.lit(c).alias("class"), F.get("_p", F.lit(c)).alias("p"), y(c).cast("double").alias("y"), weight(c).alias("w")) for c in classes])
+    own = F.col("w") * F.col("y") * -F.log("p")
+    other = F.col("w") * (1 - F.col("y")) * -F.log(1 - F.col("p"))
+    share, rest = F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * (1 - F.col("y")))
+    total = F.sum("w")
+    # nothing to gain where a class has all rows or none
+    none = (share == 0) | (rest == 0)
+    by_class = train.select("layer", F.inline(cells)).groupBy("layer", "class").agg(
+        F.sum(own if one_class else own + other).alias("loss"),
+        F.when(none, None).otherwise(-share * F.log(share / total) - (F.lit(0.0) if one_class else rest * F.log(rest / total))).alias("base"),
+    )
+    if one_class:
+        w = Window.partitionBy("layer")
+        by_class = by_class.withColumns({"loss": F.sum("loss").over(w), "base": F.sum("base").over(w)})
+    lower = F.coalesce(F.col("loss") < (1 - 1e-6) * F.col("base"), F.lit(True)).cast("double")
+    return near.unionByName(sums).unionByName(by_class.select("layer", "class", F.lit(-2).alias("dim"), lower.alias("value")))
+
+
+_CLASS_COUNTS = _certificate_sql(
+    LONG_SPLIT_SQL,
+    "SELECT layer, label::INTEGER AS class, round(count(*)::DOUBLE, 2) AS p_sum FROM split_long WHERE split = 'train' GROUP BY ALL",
+)
+
+
+def _is(c: int) -> Column:
+    return (F.col("y") == c).cast("double")
+
+
+def _one(c: int) -> Column:
+    return F.lit(1.0)
 
 
 @query("m2_layer_probe_logistic", _CLASS_COUNTS)
 def m2(spark, d):
-    predicted, _ = P.probe_logistic(P.ProbeData(split_vectors(spark, d)), 2000)
-    return _class_sums(predicted, _softmax(F.col("logits")))
+    models: dict = {}
+    predicted, _ = P.probe_logistic(P.ProbeData(split_vectors(spark, d)), 2000, keep=["features"], models=models)
+    return _certificate(predicted, models, _softmax(F.col("logits")), _is, _one, True, 2)
 
 
 @query("m3_layer_probe_ovr", _CLASS_COUNTS)
 def m3(spark, d):
-    predicted, _ = P.probe_one_vs_rest(P.ProbeData(split_vectors(spark, d), scale=False), 100)
-    return _class_sums(predicted, F.transform("logits", lambda x: 1 / (1 + F.exp(-x))))
+    models: dict = {}
+    predicted, _ = P.probe_one_vs_rest(
+        P.ProbeData(split_vectors(spark, d), scale=False), 100, keep=["features"], models=models
+    )
+    return _certificate(predicted, models, _sigmoids(F.col("logits")), _is, _one, False, 2)
 
 
 @query(
     "m4_layer_probe_multilabel",
-    f"""WITH {LONG_SPLIT_SQL}, train AS (SELECT * FROM split_long WHERE split = 'train'),
+    _certificate_sql(
+        f"""{LONG_SPLIT_SQL}, train AS (SELECT * FROM split_long WHERE split = 'train'),
     n AS (SELECT layer, count(*) AS n FROM train GROUP BY layer),
     pos AS (SELECT layer, id, count(*) AS pos FROM (
-      SELECT layer, sample_id, unnest(list_distinct([label, (label * 3) % 10]))::INTEGER AS id FROM train) GROUP BY ALL)
-    SELECT layer, id AS class, {s6("pos * ((n - pos) / (pos + 1e-7))", 2)} AS p_sum FROM pos JOIN n USING (layer)""",
+      SELECT layer, sample_id, unnest(list_distinct([label, (label * 3) % 10]))::INTEGER AS id FROM train) GROUP BY ALL)""",
+        f"""SELECT layer, id AS class, {s6("pos * ((n - pos) / (pos + 1e-7))", 2)} AS p_sum FROM pos JOIN n USING (layer)""",
+    ),
 )
 def m4(spark, d):
     labels = F.array_distinct(F.array(F.col("label"), (F.col("label") * 3) % 10))
     data = P.ProbeData(split_vectors(spark, d).withColumn("labels", labels), ["labels"])
-    predicted, _ = P.probe_multilabel(data, "labels", 10, 100)
-    n, pos = F.col("n"), F.col("pos")
-    rows = predicted.filter("split = 'train'").select(
-        "layer", F.posexplode(F.arrays_zip("bits", "logits")).alias("class", "v")
-    ).select("layer", "class", F.col("v.bits").alias("bit"), (1 / (1 + F.exp(-F.col("v.logits")))).alias("p"))
-    sums = rows.groupBy("layer", "class").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bit").alias("pos"),
-        F.sum(F.when(F.col("bit") == 1, F.col("p"))).alias("p_pos"), F.sum(F.when(F.col("bit") == 0, F.col("p"))).alias("p_neg"),
-    )
-    total = F.coalesce("p_pos", F.lit(0.0)) * ((n - pos) / (pos + 1e-7)) + F.coalesce("p_neg", F.lit(0.0))
-    return sums.select("layer", "class", r6(total, 2).alias("p_sum"))
+    models: dict = {}
+    predicted, _ = P.probe_multilabel(data, "labels", 10, 100, keep=["features"], models=models)
+    train = predicted.filter("split = 'train'")
+    positive = train.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("bits", F.lit(c))) for c in range(10)]).alias("pos")
+    )
+
+    def bit(c: int) -> Column:
+        return F.get("bits", F.lit(c)).cast("double")
+
+    def weight(c: int) -> Column:
+        pos = F.get("pos", F.lit(c))
+        return F.when(bit(c) == 1, (F.col("n") - pos) / (pos + 1e-7)).otherwise(1.0)
+
+    rows = train.join(F.broadcast(positive), "layer")  # a row a layer
+    return _certificate(rows, models, _sigmoids(F.col("logits")), bit, weight, False, 2)
 
 
 @query(
     "m5_layer_probe_weighted",
-    f"""WITH {LONG_SPLIT_SQL} SELECT layer, label::INTEGER AS class, {s6("count(*) / (count(*) + 1e-7)", 3)} AS p_sum
+    _certificate_sql(
+        LONG_SPLIT_SQL,
+        f"""SELECT layer, label::INTEGER AS class, {s6("count(*) / (count(*) + 1e-7)", 3)} AS p_sum
     FROM split_long WHERE split = 'train' GROUP BY ALL""",
+    ),
 )
 def m5(spark, d):
-    predicted, _ = P.probe_weighted(P.ProbeData(split_vectors(spark, d)), 2000)
+    models: dict = {}
+    predicted, _ = P.probe_weighted(P.ProbeData(split_vectors(spark, d)), 2000, keep=["features"], models=models)
     train = predicted.filter("split = 'train'")
     weights = train.groupBy("layer", "y").agg((1.0 / (F.count(F.lit(1)) + 1e-7)).alias("weight"))
-    rows = train.join(weights, ["layer", "y"]).select(
-        "layer", "weight", F.posexplode(_softmax(F.col("logits"))).alias("class", "p")
-    )
-    return rows.groupBy("layer", "class").agg(r6(F.sum(F.col("weight") * F.col("p")), 3).alias("p_sum"))
+    rows = train.join(weights, ["layer", "y"])
+    return _certificate(rows, models, _softmax(F.col("logits")), _is, lambda c: F.col("weight"), True, 3)
 
 
 def _learned(predicted: DataFrame) -> DataFrame:
@@ -131,35 +193,93 @@ def m6(spark, d):
 @query(
     "m7_train_all_layers",
     f"""WITH {LONG_SPLIT_SQL} SELECT layer, depth, split, count(*) AS n, true AS learned
-    FROM split_long, (SELECT unnest([0, 1, 2]) AS depth) GROUP BY ALL""",
+    FROM split_long, range({len(PROBE_DEPTHS)}) r(depth) GROUP BY ALL""",
 )
 def m7(spark, d):
+    """All layers at all depths."""
     data = P.ProbeData(split_vectors(spark, d))
-    predicted, _ = P.train_all_layers(data, PROBE_DEPTHS[:3], 40)
-    return _learned(predicted)
+    predicted, _ = P.train_all_layers(data, PROBE_DEPTHS, 100, threads=8)
+    return _learned(via_parquet(predicted, "all-layers"))
+
 
+_AXES = list(TUNING_GRID)
+_LIST_SQL = {
+    k: "[" + ", ".join(f"'{x}'" if isinstance(x, list) else repr(x) for x in v) + "]" for k, v in TUNING_GRID.items()
+}
 
-_TRIALS = [
-    {"hidden_layers": hidden, "epochs": 50, "weight_decay": decay, "loss_function": loss}
-    for hidden in TUNING_GRID["hidden_layers"][:2]
-    for decay in TUNING_GRID["weight_decay"]
-    for loss in TUNING_LOSSES["singlelabel"]
-]
+
+def _trials(task: str) -> list[dict]:
+    """All rows of the grid; the last axis changes fastest."""
+    axes = [*TUNING_GRID.values(), TUNING_LOSSES[task]]
+    return [dict(zip([*_AXES, "loss_function"], x)) for x in product(*axes)]
+
+
+def _grid_sql(task: str, many: bool) -> str:
+    axes = ", ".join(f"(SELECT unnest({v}) AS {k}, generate_subscripts({v}, 1) AS i_{k}) q_{k}" for k, v in _LIST_SQL.items())
+    order = ", ".join(f"i_{k}" for k in _AXES)
+    good = "loss IN ('bce', 'focal') AND hidden_layers = '[]'" if many else "hidden_layers = '[]' OR loss = 'ce'"
+    return f"""SELECT layer, '{task}' AS task, (row_number() OVER (PARTITION BY layer ORDER BY {order}, i_loss) - 1)::BIGINT AS trial_id,
+      learning_rate::DOUBLE AS learning_rate, weight_decay::DOUBLE AS weight_decay, epochs::INTEGER AS epochs, hidden_layers, loss AS loss_function,
+      {good} AS done FROM (SELECT DISTINCT layer FROM long), {axes},
+      (SELECT unnest({TUNING_LOSSES[task]}) AS loss, generate_subscripts({TUNING_LOSSES[task]}, 1) AS i_loss)"""
 
 
 @query(
     "m8_tune",
-    f"""WITH {LONG_SQL} SELECT DISTINCT layer, k AS trial_id,
-      CASE WHEN k % 3 = 0 THEN 'done' ELSE 'failed' END AS status, k % 3 = 0 AS scored FROM long, range({len(_TRIALS)}) r(k)""",
+    f"""WITH {LONG_SQL}, g AS ({_grid_sql("singlelabel", False)} UNION ALL {_grid_sql("multilabel", True)})
+    SELECT layer, task, trial_id, learning_rate, weight_decay, epochs, hidden_layers, loss_function,
+      CASE WHEN done THEN 'done' ELSE 'failed' END AS status, done AS falls, done AS scored,
+      CASE WHEN NOT done THEN 0 WHEN hidden_layers = '[]' THEN 5 ELSE 2 END AS n_acts FROM g""",
 )
 def m8(spark, d):
-    """Hidden layers x weight decay x loss on every layer; Spark fits one of the losses."""
+    """The whole grid for one class and for many labels a row, on every layer."""
+    labels = F.array_distinct(F.array(F.col("label"), (F.col("label") * 3) % 10))
+    data = P.ProbeData(split_vectors(spark, d).withColumn("labels", labels), ["labels"])
+    single = T.tune(data, _trials("singlelabel"), threads=8).withColumn("task", F.lit("singlelabel"))
+    multi = T.tune(data, _trials("multilabel"), "labels", 10).withColumn("task", F.lit("multilabel"))
+    main = F.coalesce(F.col("metrics")["accuracy"], F.col("metrics")["exact_acc"])
+    p = F.col("params")
+    return single.unionByName(multi).select(
+        "layer", "task", "trial_id", p["learning_rate"].cast("double").alias("learning_rate"),
+        p["weight_decay"].cast("double").alias("weight_decay"), p["epochs"].cast("int").alias("epochs"),
+        p["hidden_layers"].alias("hidden_layers"), p["loss_function"].alias("loss_function"), "status",
+        F.coalesce("falls", F.lit(False)).alias("falls"), F.coalesce(main.between(0, 1), F.lit(False)).alias("scored"),
+        F.coalesce(F.size("acts"), F.lit(0)).alias("n_acts"),
+    )
+
+
+@query(
+    "m7_epoch_log",
+    f"""WITH {LONG_SPLIT_SQL}, n AS (SELECT layer, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split <> 'train') AS n_val
+      FROM split_long GROUP BY layer)
+    SELECT layer, depth, epoch::INTEGER AS epoch, n_train, n_val, true AS falls, true AS beats_shares, true AS best_is_highest
+    FROM n, range(3) r(depth), range(10, 90, 10) e(epoch)""",
+)
+def m7_log(spark, d):
+    """Losses by epoch of networks fitted on from their last weights, and their best epoch."""
     data = P.ProbeData(split_vectors(spark, d))
-    trials = [P.tune(data, layer, _TRIALS).withColumn("layer", F.lit(layer)) for layer in data.layers]
-    accuracy = F.col("metrics")["accuracy"]
-    return reduce(DataFrame.unionByName, trials).select(
-        "layer", "trial_id", "status", F.coalesce(accuracy.between(0, 1), F.lit(False)).alias("scored")
+    states = [T.chunked_network(data, hidden, 80, 10, threads=8) for hidden in ([], [256], [256, 128])]
+    predicted = reduce(DataFrame.unionByName, states)
+    log = via_parquet(T.epoch_log(predicted), "epoch-log")
+    keys = ["layer", "depth"]
+    before = F.lag("train_loss").over(Window.partitionBy(*keys).orderBy("epoch"))
+    counts = predicted.groupBy(*keys, "epoch", "y").agg(
+        F.sum((F.col("split") == "train").cast("int")).alias("t"), F.sum((F.col("split") != "train").cast("int")).alias("v")
     )
+    total = F.sum("t")
+    sizes = counts.groupBy(*keys, "epoch").agg(
+        total.alias("n_train"), F.sum("v").alias("n_val"), (F.sum(-F.col("t") * F.log("t")) / total + F.log(total)).alias("shares")
+    )
+    last = F.max("epoch").over(Window.partitionBy(*keys))  # deep networks need more than the first chunk
+    # a chunk ends where the solver finds no lower loss, up to its last digits
+    best = X.best_epoch(log, keys, "val_accuracy").join(log.groupBy(*keys).agg(F.max("val_accuracy").alias("top")), keys)
+    return log.withColumn("falls", F.coalesce(F.col("train_loss") <= before + 1e-6, F.lit(True))).join(
+        sizes, [*keys, "epoch"]
+    ).join(best, keys).select(
+        *keys, "epoch", "n_train", "n_val", "falls",
+        ((F.col("epoch") < last) | (F.col("train_loss") < F.col("shares"))).alias("beats_shares"),
+        (F.col("best_accuracy") == F.col("top")).alias("best_is_highest"),
+    )
 
 
 _POWER = """{name} AS (

@@ -1,12 +1,17 @@
+import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from layerlab.operators import evaluation as E
 from layerlab.operators.tables import skip_done_batches, stratified_split
+from layerlab.plans import descent as D
 from layerlab.plans import probes as P
+from layerlab.plans import tuning as T
 from layerlab.plans.analysis import LayerAnalysis, analyze_layers, labelled_vectors
 from layerlab.plans.encode import HashEncoder, encode_layers
+from layerlab.queries import probe_queries as PQ
 
 
 @pytest.fixture(scope="module")
@@ -71,12 +76,122 @@ def test_multilabel(data):
 
 
 def test_tune_records_failures(data):
-    grid = [{"hidden_layers": [], "epochs": 10}, {"hidden_layers": [8], "epochs": 10}, {"loss_function": "hinge"}]
-    trials = {r.trial_id: r for r in P.tune(data, 1, grid).collect()}
-    assert [trials[i].status for i in range(3)] == ["done", "done", "failed"]
-    assert trials[0].metrics["accuracy"] > 0.9 and trials[2].metrics is None
-    multi = {r.trial_id: r for r in P.tune(data, 1, [{"epochs": 10}, {"hidden_layers": [8]}], "labels", 4).collect()}
-    assert multi[0].metrics["hamming_loss"] < 0.1 and multi[1].status == "failed"
+    grid = [
+        {"hidden_layers": [], "epochs": 10, "learning_rate": 0.3},
+        {"hidden_layers": [8], "epochs": 10},
+        {"loss_function": "hinge", "epochs": 10, "learning_rate": 0.3},
+        {"loss_function": "focal", "epochs": 5, "learning_rate": 0.3, "weight_decay": 0.1},
+        {"loss_function": "hinge", "hidden_layers": [8]},
+        {"loss_function": "bce"},
+    ]
+    trials = {(r.layer, r.trial_id): r for r in T.tune(data, grid).collect()}
+    assert len(trials) == 12
+    assert [trials[1, i].status for i in range(6)] == ["done"] * 4 + ["failed"] * 2
+    assert all(trials[1, i].metrics["accuracy"] > 0.9 for i in (0, 2, 3)) and trials[1, 4].metrics is None
+    assert "cross-entropy only" in trials[1, 4].error and "not defined" in trials[1, 5].error
+    assert "learning_rate" in trials[1, 0].acts and "learning_rate" not in trials[1, 1].acts
+    assert trials[1, 0].falls and trials[1, 3].falls
+    multi_grid = [{"epochs": 30, "learning_rate": 0.3}, {"hidden_layers": [8]}, {"loss_function": "hinge"}]
+    multi = {r.trial_id: r for r in T.tune(data, multi_grid, "labels", 4).filter("layer = 1").collect()}
+    assert multi[0].metrics["hamming_loss"] < 0.1 and [multi[i].status for i in (1, 2)] == ["failed"] * 2
+
+
+def test_slopes_are_those_of_the_losses():
+    rng = np.random.default_rng(4)
+    for (name, many), loss in D.LOSSES.items():
+        z = rng.normal(0, 2, (5, 2, 4))
+        bits = rng.integers(0, 2, (5, 1, 4)).astype(float) if many else np.eye(4)[rng.integers(0, 4, 5)][:, None]
+        bits = np.broadcast_to(bits, z.shape)
+        _, slope = loss(z, bits)
+        for at in np.ndindex(z.shape):
+            up, down = z.copy(), z.copy()
+            up[at] += 1e-6
+            down[at] -= 1e-6
+            numeric = (loss(up, bits)[0] - loss(down, bits)[0])[at[:2]] / 2e-6
+            assert abs(numeric - slope[at]) < 1e-5, (name, many)
+
+
+def test_heads_take_the_steps_of_adamw_on_any_layout(data):
+    heads = [D.Head("ce", 0.1, 0.5), D.Head("focal", 0.01), D.Head("hinge", 0.05)]
+    widths = {k: w for k, (w, _) in data.shapes.items()}
+    runs = [
+        D.train_heads(table, widths, 3, heads, 6, asked=[0, 6])
+        for table in (data.table, data.table.repartition(5, "sample_id"))
+    ]
+    pdf = data.table.filter("layer = 1").toPandas()
+    x, bits = np.stack(pdf.vec), np.eye(3)[pdf.label]
+    train = (pdf.split == "train").to_numpy()
+    for i, h in enumerate(heads):
+        w, b = np.zeros((4, 3)), np.zeros(3)
+        m = [np.zeros_like(a) for a in (w, b, w, b)]
+        for step in range(1, 7):
+            z = x[train] @ w + b
+            slope = D.LOSSES[h.loss, False](z[:, None], bits[train][:, None])[1][:, 0] / train.sum()
+            for k, (value, g) in enumerate(((w, x[train].T @ slope), (b, slope.sum(0)))):
+                m[k] = 0.9 * m[k] + 0.1 * g
+                m[k + 2] = 0.999 * m[k + 2] + 0.001 * g * g
+                value *= 1 - h.learning_rate * h.weight_decay
+                value -= h.learning_rate * m[k] / (1 - 0.9**step) / (np.sqrt(m[k + 2] / (1 - 0.999**step)) + 1e-8)
+        for run in runs:
+            np.testing.assert_allclose(run.after[6][1].w[:, i], w, atol=1e-9)
+            np.testing.assert_allclose(run.after[6][1].b[i], b, atol=1e-9)
+    log = runs[0].log.toPandas()
+    assert len(log) == 2 * 3 * 7
+    first = log[(log.layer == 1) & (log["head"] == 0) & (log.epoch == 0)].iloc[0]
+    assert abs(first.train_loss - np.log(3)) < 1e-9
+    assert (log[log.best].groupby(["layer", "head"]).size() == 1).all()
+    scored = D.predict(data.table, runs[0].after[6], 3).filter("layer = 1 AND head = 0").toPandas()
+    last = log[(log.layer == 1) & (log["head"] == 0) & (log.epoch == 6)].iloc[0]
+    test = scored[scored.split != "train"]
+    assert abs((test.y == test.yhat).mean() - last.val_accuracy) < 1e-9
+
+
+def test_heads_stop_without_a_lower_validation_loss(data):
+    widths = {k: w for k, (w, _) in data.shapes.items()}
+    got = D.train_heads(data.table, widths, 3, [D.Head("ce", 1.0), D.Head("ce", 1e-4)], 40, patience=2)
+    ends = got.log.groupBy("layer", "head").agg(F.max("epoch").alias("e")).collect()
+    ends = {(r.layer, r["head"]): r.e for r in ends}
+    assert ends[0, 0] < 20 and ends[1, 1] == 40
+
+
+def test_epoch_log_is_that_of_the_written_logits(data):
+    states = T.chunked_network(data, [], 30, 10)
+    log = {(r.layer, r.epoch): r for r in T.epoch_log(states).collect()}
+    files = sorted({f.replace("file://", "") for f in states.inputFiles()})
+    want = duckdb.sql(
+        f"""SELECT layer, epoch, avg(loss) FILTER (split = 'train') AS t, avg(loss) FILTER (split <> 'train') AS v FROM (
+          SELECT *, ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[y + 1] AS loss FROM read_parquet({files}))
+        GROUP BY ALL"""
+    ).fetchall()
+    assert {(k, e) for k, e, _, _ in want} == set(log) == {(k, e) for k in (0, 1) for e in (10, 20, 30)}
+    for k, e, t, v in want:
+        assert abs(log[k, e].train_loss - t) < 1e-9 and abs(log[k, e].val_loss - v) < 1e-9
+    for k in (0, 1):
+        assert log[k, 30].train_loss <= log[k, 20].train_loss <= log[k, 10].train_loss
+    best = T.best_states(states, T.epoch_log(states))
+    assert best.groupBy("layer").agg(F.countDistinct("epoch").alias("n")).filter("n <> 1").isEmpty()
+    stopped = T.chunked_network(data, [], 200, 10, patience=1)
+    assert stopped.agg(F.max("epoch")).first()[0] < 200
+
+
+def test_intercepts_alone_have_no_certificate(data):
+    def certificate(max_iter):
+        models = {}
+        predicted, _ = P.probe_logistic(data, max_iter, keep=["features"], models=models)
+        got = PQ._certificate(predicted, models, PQ._softmax(F.col("logits")), PQ._is, PQ._one, True, 2)
+        return {(r.layer, r["class"], r.dim): r.value for r in got.collect()}
+
+    good = certificate(500)
+    assert all(v == 0 for (_, _, d), v in good.items() if d >= 0)
+    assert all(good[k, c, -1] == 40 and good[k, c, -2] == 1 for k in (0, 1) for c in range(3))
+    # class shares: intercepts without coefficients, as a fit that never sees the vectors
+    flat = {k: [[0.0] * 4] * 3 for k in (0, 1)}
+    shares = data.table.withColumn("features", array_to_vector("vec")).withColumn("y", F.col("label"))
+    shares = shares.withColumn("logits", F.array(*[F.lit(0.0)] * 3))
+    bad = PQ._certificate(shares, flat, PQ._softmax(F.col("logits")), PQ._is, PQ._one, True, 2)
+    bad = {(r.layer, r["class"], r.dim): r.value for r in bad.collect()}
+    assert all(bad[k, c, -1] == 40 and bad[k, c, -2] == 0 for k in (0, 1) for c in range(3))
+    assert any(abs(bad[1, c, d]) > 0.1 for c in range(3) for d in range(4))
 
 
 def test_projection(data):
