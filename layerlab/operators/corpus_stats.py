@@ -151,12 +151,12 @@ def density_estimate(df: DataFrame, value: str, points: int = 200, cut: float =
     return mass.select("point", at.alias("x"), (F.col("_k") / norm).alias("density"))
 
 
-def box_stats(df: DataFrame, group: str, value: str, exact_rows: int = 200_000) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers inside the data, outliers per group."""
     x = F.col(value).cast("double")
     # read several times below: two narrow columns are cheaper to write than to derive again
     data = via_parquet(df.filter(F.col(value).isNotNull()).select(group, x.alias("_x")), "box-values")
-    quart = exact_quantiles(data, [group], "_x", [0.25, 0.5, 0.75], ["q1", "median", "q3"], exact_rows)
+    quart = exact_quantiles(data, [group], "_x", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     joined = null_safe_join(data, inline_if_small(quart), [group], "inner")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)

@@ -60,20 +60,16 @@ def layer_value_stats(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> D
     )
 
 
-def layer_value_median(
-    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 200_000
-) -> DataFrame:
+def layer_value_median(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
     """Exact median over all values of each key."""
     values = df.select(*keys, F.explode(V.doubles(F.col(vec))).alias("_value"))
-    return exact_quantiles(values, keys, "_value", [0.5], ["value_median"], exact_rows)
+    return exact_quantiles(values, keys, "_value", [0.5], ["value_median"])
 
 
-def file_global_stats(
-    df: DataFrame, keys: Sequence[str], vec: str = "vec", exact_rows: int = 200_000
-) -> DataFrame:
+def file_global_stats(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
     """Per batch file: count, min, max, mean, population std, median of all values."""
     moments = layer_value_stats(df, keys, vec).drop("dimension")
-    return null_safe_join(moments, layer_value_median(df, keys, vec, exact_rows), list(keys), "inner")
+    return null_safe_join(moments, layer_value_median(df, keys, vec), list(keys), "inner")
 
 
 def aggregate_file_stats(files: DataFrame, keys: Sequence[str] = (), n: str = "n_samples") -> DataFrame:

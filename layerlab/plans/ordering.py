@@ -6,7 +6,7 @@
 * `smallest_k`: the exact k smallest rows per group by a hash order, found from
   a histogram whose bins are as fine as the table is long; only the rows of the
   boundary bin, at most some 2^20, are ever sorted.
-* `exact_quantiles`: order statistics by narrowing value ranges.
+* `exact_quantiles`: order statistics by radix selection on the bits of the values.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerlab.plans.materialize import cut_lineage, inline_if_small, local_side, small_table
+from layerlab.plans.materialize import cut_lineage, inline_if_small, local_side, small_table, via_parquet
 
 DIGIT_BITS = 20
 # the bin of a hash histogram that is sorted may hold this many rows
@@ -166,121 +166,122 @@ def smallest_k(
     return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_cut_h", "_cut_k")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    exact_rows: int = 200_000,
-    bins: int = 4096,
-) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group.
+_MANTISSA = 1 << 52
+_INFINITY, _NAN = 2047 << 52, (2047 << 52) + (1 << 51)
 
-    Groups of up to `exact_rows` values use Spark's `percentile`, whose buffer
-    is then bounded. Beyond that, the order statistics each quantile needs are
-    located by repeated histograms of shrinking value ranges; each round is one
-    scan with a small partial aggregate and no shuffle of the values.
+
+def ordered_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add `out`: the 64 bits of a double as a long that orders like it; NaN is last, -0.0 is 0.0.
+
+    Made of exact arithmetic, so that it stays in generated code: the exponent from
+    a logarithm put right by one, the rest by dividing by a power of two.
     """
-    g = list(group)
-    data = df.select(*g, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    stats = data.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    x, size, e, power = (F.col(f"_{c}") for c in ("bits_x", "bits_a", "bits_e", "bits_p"))
+    two = F.lit(2.0)
+    first = df.withColumns({"_bits_x": F.col(value).cast("double"), "_bits_a": F.abs(F.col(value).cast("double"))})
+    guess = first.withColumn("_bits_e", F.floor(F.log2(size)).cast("double"))
+    close = guess.withColumn(
+        "_bits_e", F.when(size < F.pow(two, e), e - 1).when(size >= F.pow(two, e + 1), e + 1).otherwise(e)
     )
-    biggest = stats.agg(F.max("_n")).first()[0] or 0
-    if biggest <= exact_rows:
-        return data.groupBy(*g).agg(
-            *[F.percentile("_x", F.lit(p)).alias(n) for p, n in zip(probs, names, strict=True)]
-        )
-
-    # one target rank per (group, quantile, side)
-    sides = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        sides.append(F.struct(F.lit(i).alias("_q"), F.lit(0).alias("_side"), F.floor(pos).alias("_rank")))
-        sides.append(F.struct(F.lit(i).alias("_q"), F.lit(1).alias("_side"), F.ceil(pos).alias("_rank")))
-    targets = stats.withColumn("_t", F.explode(F.array(*sides))).select(
-        *g, "_lo", "_hi", "_t._q", "_t._side", "_t._rank",
-        F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"),
+    scaled = close.withColumn("_bits_e", F.greatest(e, F.lit(-1022.0))).withColumn("_bits_p", F.pow(two, e))
+    plain = ((e + 1022) * _MANTISSA).cast("long") + (size / power * _MANTISSA).cast("long")
+    bits = (
+        F.when(F.isnan(x), F.lit(_NAN))
+        .when(size == float("inf"), F.lit(_INFINITY))
+        .when(size == 0, F.lit(0).cast("long"))
+        .otherwise(plain)
     )
-    targets = cut_lineage(targets)
-
-    def near(wanted: DataFrame) -> DataFrame:
-        """Values inside the range of a target, with the target's columns."""
-        if g:
-            side = null_safe_join(data, inline_if_small(wanted), g, "inner")
-            return side.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-        # without groups there are two targets per quantile
-        fields = wanted.columns
-        items = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, r, strict=True)]) for r in wanted.collect()]
-        if not items:
-            return data.limit(0).select("_x", *[F.lit(None).cast(t).alias(f) for f, t in wanted.dtypes])
-        hit = F.filter(F.array(*items), lambda t: F.col("_x").between(t["_lo"], t["_hi"]))
-        return data.select("_x", F.inline(hit))
-
-    rounds = math.ceil(64 / math.log2(bins)) + 2
-    tkey = [*g, "_q", "_side"]
-    slot_width = (F.col("_hi") - F.col("_lo")) / bins
-    slot = F.when(
-        slot_width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / slot_width), F.lit(bins - 1))
-    ).otherwise(F.lit(0))
-    found_here = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_cnt"))
-
-    # first round: one histogram per group serves all targets
-    if g:
-        spanned = null_safe_join(data, inline_if_small(stats.drop("_n")), g, "inner")
-    else:
-        row = stats.first()
-        spanned = data.withColumn("_lo", F.lit(row["_lo"])).withColumn("_hi", F.lit(row["_hi"]))
-    hist = spanned.groupBy(*g, slot.alias("_slot")).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    key = F.when(x.isNotNull(), F.when(x < 0, -bits).otherwise(bits))
+    return scaled.withColumn(out, key).drop("_bits_x", "_bits_a", "_bits_e", "_bits_p")
+
+
+def double_of_bits(key: Column) -> Column:
+    """The double that ordered_bits was made of."""
+    bits = F.abs(key)
+    e, rest = F.shiftright(bits, 52), bits.bitwiseAND(_MANTISSA - 1).cast("double")
+    two = F.lit(2.0)
+    size = (
+        F.when(bits == _NAN, float("nan"))
+        .when(bits == _INFINITY, float("inf"))
+        .when(e == 0, rest * F.lit(5e-324))
+        .otherwise((1 + rest / _MANTISSA) * F.pow(two, e - 1023))
     )
-    whole = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_slot")
-    hist = hist.withColumn("_upto", F.sum("_cnt").over(whole))
-    wanted = targets.select(*tkey, "_rank")
-    if g:
-        placed = null_safe_join(hist, inline_if_small(wanted), g, "inner").filter(found_here)
-    else:
-        items = [F.struct(*[F.lit(v).alias(f) for f, v in r.asDict().items()]) for r in wanted.collect()]
-        placed = hist.select("*", F.inline(F.array(*items))).filter(found_here)
-    targets = cut_lineage(
-        placed.select(*g, "_lo", "_hi", "_q", "_side", "_rank", (F.col("_upto") - F.col("_cnt")).alias("_below"), "_cnt")
-    )
-    for _ in range(rounds):
-        left = targets.filter((F.col("_cnt") > exact_rows) & (F.col("_lo") < F.col("_hi")))
-        if left.limit(1).count() == 0:
-            break
-        inside = near(targets)
-        counted = inside.groupBy(*tkey, "_rank", "_below", slot.alias("_slot")).agg(
-            F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    return F.when(key < 0, -size).otherwise(size)
+
+
+def exact_quantiles(
+    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group, by radix selection.
+
+    A value is its order-preserving 64 bits. Each round counts, for all groups and
+    ranks at once, the next bits (20, 22 and 22) of the values that share the bits
+    found so far; three rounds always do, whatever the values. The first is a scan
+    with a partial aggregate. Only values that share 20 bits with a wanted rank go on,
+    each different one once with its count. No window sees more than 2^22 rows of a
+    group or rank. Nulls do not count; a group without values, or an empty table,
+    gives no row.
+    """
+    g = list(group) or ["_all"]
+    source = df if group else df.withColumn("_all", F.lit(0))
+    keyed = ordered_bits(source.filter(F.col(value).isNotNull()).select(*g, value), value, "_key")
+    data = keyed.select(*g, "_key", F.lit(1).cast("long").alias("_n"))
+
+    def bins(rows: DataFrame, known: list[str], shift: int) -> DataFrame:
+        """Counted bins of the next bits, with the values before each among those that share `known`."""
+        found = rows.groupBy(*g, *known, F.shiftright("_key", shift).alias("_bin")).agg(
+            F.sum("_n").alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")
+        )
+        order = Window.partitionBy(*g, *known).orderBy("_bin")
+        return found.withColumn("_upto", F.sum("_n").over(order))
+
+    def placed(found: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+        """Targets with the bin that their rank is in."""
+        here = null_safe_join(found, targets, on, "inner").filter(
+            (F.col("_rank") < F.col("_below") + F.col("_upto"))
+            & (F.col("_rank") >= F.col("_below") + F.col("_upto") - F.col("_n"))
         )
-        upto = F.sum("_cnt").over(Window.partitionBy(*tkey).orderBy("_slot"))
-        targets = cut_lineage(
-            counted.withColumn("_upto", upto + F.col("_below"))
-            .filter(found_here)
-            .withColumn("_below", F.col("_upto") - F.col("_cnt"))
-            .select(*g, "_lo", "_hi", "_q", "_side", "_rank", "_below", "_cnt")
+        below = F.col("_below") + F.col("_upto") - F.col("_n")
+        return evaluated(
+            here.select(*g, "_rank", below.alias("_below"), F.col("_bin").alias("_known"), "_lo", "_hi", "_size")
         )
-    done = targets.filter(F.col("_lo") == F.col("_hi")).select(*tkey, F.col("_lo").alias("_x"))
-    rest = targets.filter(F.col("_lo") < F.col("_hi"))
-    cand = near(rest)
-    # equal values are counted first, so the window sees distinct values only
-    cand = cand.groupBy(*tkey, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*tkey).orderBy("_x")) + F.col("_below")
-    found = (
-        cand.withColumn("_upto", upto)
-        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-        .select(*tkey, "_x")
+
+    def evaluated(rows: DataFrame) -> DataFrame:
+        """A local, broadcast table if it is small, else a checkpoint."""
+        table = small_table(rows)
+        return cut_lineage(rows) if table is None else local_side(rows, table)
+
+    at = [(F.col("_size") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(pos).cast("long") for pos in at for f in (F.floor, F.ceil)]))
+    below = F.col("_upto") - F.col("_n")
+    here = F.filter(ranks, lambda r: (r >= below) & (r < F.col("_upto")))
+    first = bins(data, [], 44).withColumn("_size", F.sum("_n").over(Window.partitionBy(*g)))
+    targets = evaluated(
+        first.withColumn("_ranks", here)
+        .filter(F.size("_ranks") > 0)
+        .select(*g, F.explode("_ranks").alias("_rank"), below.alias("_below"), F.col("_bin").alias("_known"), "_lo", "_hi", "_size")
     )
-    picked = done.unionByName(found)
-    if g:
-        picked = null_safe_join(picked, stats.select(*g, "_n"), g, "inner")
+    done, narrow = [], None
+    for shift in (22, 0):
+        left = targets.filter("_lo < _hi")
+        done.append(targets.filter("_lo = _hi"))
+        if left.isEmpty():
+            break
+        rows = (data if narrow is None else narrow.drop("_known")).withColumn("_known", F.shiftright("_key", shift + 22))
+        narrow = null_safe_join(rows, left.select(*g, "_known"), [*g, "_known"], "left_semi")
+        if shift == 22:
+            counted = narrow.groupBy(*g, "_known", "_key").agg(F.sum("_n").alias("_n"))
+            narrow = via_parquet(counted, "quantile-values")
+        targets = placed(bins(narrow, ["_known"], shift), left.drop("_lo", "_hi"), [*g, "_known"])
     else:
-        picked = picked.withColumn("_n", F.lit(stats.first()["_n"]))
+        done.append(targets)
+    found = reduce(lambda a, b: a.unionByName(b), done)
+    picked = found.select(*g, "_size", "_rank", double_of_bits(F.col("_lo")).alias("_x"))
     cols = []
-    for i, (p, name) in enumerate(zip(probs, names, strict=True)):
-        lo = F.max(F.when((F.col("_q") == i) & (F.col("_side") == 0), F.col("_x")))
-        hi = F.max(F.when((F.col("_q") == i) & (F.col("_side") == 1), F.col("_x")))
-        pos = (F.max("_n") - 1) * F.lit(float(p))
-        cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return picked.groupBy(*g).agg(*cols)
+    for p, name in zip(probs, names, strict=True):
+        pos = (F.col("_size") - 1) * F.lit(float(p))
+        lo = F.max(F.when(F.col("_rank") == F.floor(pos), F.col("_x")))
+        hi = F.max(F.when(F.col("_rank") == F.ceil(pos), F.col("_x")))
+        part = F.max(pos - F.floor(pos))
+        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part).alias(name))
+    return picked.groupBy(*g).agg(*cols).select(*group, *names)

@@ -61,21 +61,46 @@ def test_smallest_k_matches_sort(spark):
     assert TB.sample_rows(df, "k", 10_000).count() == 5000
 
 
-@pytest.mark.parametrize("exact_rows", [10_000_000, 50])
-def test_exact_quantiles(spark, exact_rows):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     rows = [("a", float(x)) for x in rng.normal(0, 1, 900)] + [("a", 1e9)]
     rows += [("b", 0.0)] * 400 + [("b", float(x)) for x in rng.integers(0, 3, 100)] + [(None, 5.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.9], ["a", "b", "c"], exact_rows, bins=16).toPandas()
+    got = exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.9], ["a", "b", "c"]).toPandas()
     assert len(got) == 3
     for r in got.itertuples():
         values = [x for g, x in rows if g == r.g or (g is None and r.g is None)]
         np.testing.assert_allclose([r.a, r.b, r.c], np.percentile(values, [25, 50, 90]), rtol=1e-12)
-    whole = exact_quantiles(df, [], "x", [0.5], ["m"], exact_rows, bins=16).first()[0]
+    whole = exact_quantiles(df, [], "x", [0.5], ["m"]).first()[0]
     assert whole == pytest.approx(np.median([x for _, x in rows]))
 
 
+def test_exact_quantiles_of_any_doubles(spark):
+    rng = np.random.default_rng(3)
+    wide = [float(s * 2.0**e) for e in range(-1000, 1001, 7) for s in (1, -1, 1.0000000000000002)]
+    near = [float(x) for x in np.nextafter(1.0, 2.0) + np.arange(300) * 2.0**-52]
+    sets = {
+        "wide": [*wide, float("inf"), float("-inf"), 5e-324, -5e-324],
+        "near": near,
+        "zeros": [0.0, -0.0] * 50,
+        "ties": [7.5] * 5000 + [float(x) for x in rng.normal(7.5, 1e-9, 99)],
+        "one": [3.25],
+        "nan": [float("nan"), 1.0, 2.0],
+    }
+    df = spark.createDataFrame([(g, x) for g, v in sets.items() for x in v] + [("none", None)], "g string, x double")
+    probs, names = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0], list("abcdef")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", probs, names).collect()}
+    assert set(got) == set(sets)
+    for g, values in sets.items():
+        ordered = sorted(v for v in values if v == v) + [v for v in values if v != v]
+        for p, name in zip(probs, names):
+            pos = p * (len(ordered) - 1)
+            lo, hi = ordered[int(np.floor(pos))], ordered[int(np.ceil(pos))]
+            want = lo if lo == hi or (lo != lo and hi != hi) else lo + (hi - lo) * (pos - np.floor(pos))
+            np.testing.assert_equal(got[g][name], want + 0.0, err_msg=f"{g} {p}")
+    assert exact_quantiles(df.filter("false"), ["g"], "x", [0.5], ["m"]).count() == 0
+
+
 def test_inline_if_small(spark):
     df = spark.range(50)
     assert M.inline_if_small(df, 10) is df
