@@ -247,7 +247,8 @@ def r1(spark, d):
     source, target, state = _batch_files(spark, d), scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
     for _ in range(2):  # the second run finds nothing new
         layer_streams.ingest_batches(spark, source, target, state)
-    return spark.read.parquet(target).select("model", "dataset", "batch_idx", "pos", "layer", r6(_total()).alias("total"))
+    read = layer_streams.read_vectors(spark, target)
+    return read.select("model", "dataset", "batch_idx", "pos", "layer", r6(_total()).alias("total"))
 
 
 @query(

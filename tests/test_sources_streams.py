@@ -106,17 +106,47 @@ def test_stream_resumes(spark, folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("stream")
     table, state = str(out / "table"), str(out / "state")
     layer_streams.ingest_batches(spark, folder, table, state, max_files=2)
-    assert spark.read.parquet(table).count() == 12
+    assert layer_streams.read_vectors(spark, table).count() == 12
     layer_streams.ingest_batches(spark, folder, table, state)
-    assert spark.read.parquet(table).count() == 12
+    assert layer_streams.read_vectors(spark, table).count() == 12
     with open(f"{folder}/labmodel_my_set_11.json", "w") as f:
         json.dump(batch(4), f)
     with open(f"{folder}/labmodel_my_set_12.json", "w") as f:
         f.write('[{"layer_0": [1.0')
     layer_streams.ingest_batches(spark, folder, table, state)
-    assert spark.read.parquet(table).count() == 20
-    errors = [r.file_name for r in spark.read.parquet(f"{table}-errors").collect()]
-    assert "labmodel_my_set_12.json" in errors
+    assert layer_streams.read_vectors(spark, table).count() == 20
+    errors = sorted(r.file_name for r in layer_streams.read_errors(spark, table).collect())
+    assert errors == ["labmodel_my_set_12.json", "labmodel_my_set_4.json"]
+
+
+def test_completed_file_is_in_one_table(spark, folder, tmp_path_factory):
+    out = tmp_path_factory.mktemp("stream")
+    table, state = str(out / "table"), str(out / "state")
+    layer_streams.ingest_batches(spark, folder, table, state)
+    before = layer_streams.read_vectors(spark, table).count()
+    with open(f"{folder}/labmodel_my_set_4.json", "w") as f:
+        json.dump(batch(5), f)
+    for _ in range(2):  # the second run reads nothing twice
+        layer_streams.ingest_batches(spark, folder, table, state)
+        vectors = layer_streams.read_vectors(spark, table)
+        assert vectors.count() == before + 10
+        assert vectors.filter("batch_idx = 4").count() == 10
+        assert layer_streams.read_errors(spark, table).count() == 0
+
+
+def test_batch_run_again_replaces_itself(spark, folder, tmp_path_factory):
+    out = tmp_path_factory.mktemp("stream")
+    table, state = str(out / "table"), out / "state"
+    layer_streams.ingest_batches(spark, folder, table, str(state), max_files=2)
+    want = sorted(map(str, layer_streams.read_vectors(spark, table).collect()))
+    errors = layer_streams.read_errors(spark, table).count()
+    # as after a crash between the write and the commit of the last batch
+    last = max((state / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    layer_streams.ingest_batches(spark, folder, table, str(state), max_files=2)
+    assert sorted(map(str, layer_streams.read_vectors(spark, table).collect())) == want
+    assert layer_streams.read_errors(spark, table).count() == errors == 1
 
 
 def test_stream_stats_stay_current(spark, tmp_path):
