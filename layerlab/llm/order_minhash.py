@@ -307,7 +307,7 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, least: float) -> DataFrame:
         .withColumn("place", place)
         .filter(F.col("place") <= beyond(least))
         .withColumn("short", F.col("place") <= beyond(2 * least / (1 + least)))
-        .drop("df", "place")
+        .drop("df")
     )
     entries = _kept(entries, "prefixes")
     by_root = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("texts"))
@@ -315,13 +315,16 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, least: float) -> DataFrame:
     one = (
         entries.join(major.hint("merge"), "shingle")
         .filter("root <> major")
-        .select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("text_key", "n", "root", "short")))
+        .select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("text_key", "n", "root", "short", "place")))
     )
+    # of the first shingle that two texts share, no more than those after it can follow
+    after = 1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    enough = after >= F.ceil((F.col("n") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
     shorter = F.struct("n", "text_key") < F.struct(F.col("n_b").alias("n"), F.col("text_key_b").alias("text_key"))
     return (
         entries.join(one.hint("merge"), "shingle")
         .filter((F.col("root") != F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * least))
-        .filter(F.when(shorter, F.col("short")).otherwise(F.col("short_b")))
+        .filter(enough & F.when(shorter, F.col("short")).otherwise(F.col("short_b")))
         .select(F.least("text_key", "text_key_b").alias("a"), F.greatest("text_key", "text_key_b").alias("b"))
         .distinct()
     )
@@ -359,9 +362,10 @@ def text_links(
         )
         leaders = _kept(leaders, "leaders")
         alike = F.least("n", "top_n") >= F.greatest("n", "top_n") * least
+        # each member beside its leader; the leaders themselves have been in their last round
+        led = _kept(active.join(leaders, "sketch").filter("text_key <> b"), "led")
         pairs = (
-            active.join(leaders, "sketch")
-            .filter((F.col("root") != F.col("top_root")) & alike)
+            led.filter((F.col("root") != F.col("top_root")) & alike)
             .select(F.col("text_key").alias("a"), "b")
             .distinct()
         )
@@ -370,8 +374,7 @@ def text_links(
         if linked or found is None:
             found = new if found is None else found.unionByName(new)
             roots = components(found)
-        led = leaders.select("sketch", F.col("b").alias("text_key"))
-        rest = active.join(led, ["sketch", "text_key"], "left_anti").drop("root")
+        rest = led.select("sketch", "text_key", "n", "weight")
         named = rest.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         named = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
         several = named.groupBy("sketch").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")

@@ -85,3 +85,40 @@ def test_secret_query_digest(spark):
         own = [s for s in r.spans.split(",") if s.split(":")[0] in base]
         assert r.base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
         assert r.n_assign + r.n_access + r.n_hex == len(own)
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path, text_of):
+    docs = [(k, "shared line\n" + " ".join(text_of(k, 30)), "en", "s", 0) for k in range(12)]
+    docs += [(20, docs[3][1].upper(), "en", "s", 0), (None, None, None, None, None), (21, "", "en", "s", 0)]
+    docs += [docs[5], docs[5], (None, " ".join(text_of(77, 40)), "en", "s", 0)]
+    write(spark, str(tmp_path), docs, [(k, 1, k % 2) for k in range(8)], [(1, " ".join(text_of(5, 30)[5:20]))])
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clashing = ["th", "mark", "cut_text", "cut", "toxicity", "n_lines", "doc", "_row", "_doc", "a.b"]
+    ids = F.col("doc_id")
+    extra = plain.withColumns({c: F.concat(F.lit(f"{c}:"), ids.cast("string")) for c in clashing})
+    for name, stage in corpus_pipeline.STAGES:
+        out, wide = stage(spark, plain, str(tmp_path)), stage(spark, extra, str(tmp_path))
+        if name == "bpe":
+            break
+        assert wide.columns == extra.columns and out.columns == plain.columns
+        rows = wide.collect()
+        assert all(r[c] == (None if r.doc_id is None else f"{c}:{r.doc_id}") for r in rows for c in clashing)
+        key = lambda r: tuple(str(r[c]) for c in plain.columns)
+        assert sorted(map(key, rows)) == sorted(map(key, out.collect()))
+        assert stage(spark, extra.filter("false"), str(tmp_path)).collect() == []
+        plain, extra = out, wide
+
+
+def test_stages_of_null_ids_and_repeated_rows(spark, tmp_path, text_of):
+    one, other = " ".join(text_of(1, 50)), " ".join(text_of(2, 50))
+    docs = [(1, one, "en", "s", 0)] * 3 + [(None, other, "en", "s", 0)] * 2 + [(2, one + " end", "en", "s", 0), (None, None, None, None, None)]
+    write(spark, str(tmp_path), docs, [(1, 1, 0), (2, 1, 0)], [(1, "no such passage in here at all, of that we are sure")])
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        rows = corpus_pipeline.via_parquet(stage(spark, rows, str(tmp_path)), name)
+        kept[name] = sorted((str(r.doc_id), str(r.text)) for r in rows.collect())
+    everything = sorted((str(d[0]), str(d[1])) for d in docs)
+    assert kept["toxicity"] == kept["line_dedup"] == everything
+    # rows with one id and text share the verdict; the copy with the larger id goes
+    assert kept["near_dedup"] == kept["decontaminate"] == [x for x in everything if x[0] != "2"]
