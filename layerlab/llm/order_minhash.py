@@ -353,14 +353,24 @@ def text_links(
         "sketch-groups",
     )
     found = roots = None
+    # a group whose texts all have one root is settled: it gets no leader
+    several_roots = F.min("root").alias("first_root"), F.max("root").alias("last_root")
     for _ in range(LED_ROUNDS):
         rank = F.struct("weight", "text_key")
         leaders = (
             active.groupBy("sketch")
-            .agg(F.max(rank).alias("top"), F.max_by("root", rank).alias("top_root"), F.max_by("n", rank).alias("top_n"))
+            .agg(
+                F.max(rank).alias("top"),
+                F.max_by("root", rank).alias("top_root"),
+                F.max_by("n", rank).alias("top_n"),
+                *several_roots,
+            )
+            .filter("first_root <> last_root")
             .select("sketch", F.col("top.text_key").alias("b"), "top_root", "top_n")
         )
         leaders = _kept(leaders, "leaders")
+        if found is not None and leaders.isEmpty():
+            return found, roots
         alike = F.least("n", "top_n") >= F.greatest("n", "top_n") * least
         # each member beside its leader; the leaders themselves have been in their last round
         led = _kept(active.join(leaders, "sketch").filter("text_key <> b"), "led")
@@ -376,13 +386,13 @@ def text_links(
             roots = components(found)
         rest = led.select("sketch", "text_key", "n", "weight")
         named = rest.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
-        named = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
-        several = named.groupBy("sketch").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-        active = _kept(named.join(several.select("sketch"), "sketch", "left_semi"), "sketch-groups")
-        if active.isEmpty():
-            return found, roots
+        active = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
         if not linked:
             break
+    several = active.groupBy("sketch").agg(*several_roots).filter("first_root <> last_root").select("sketch")
+    active = _kept(active.join(several, "sketch", "left_semi"), "sketch-groups")
+    if active.isEmpty():
+        return found, roots
     left = active.groupBy("text_key").agg(F.first("n").alias("n"), F.first("root").alias("root"))
     new = _kept(_links(_kept(prefix_pairs(left, words, least), "pairs"), words, least), "links")
     found = found.unionByName(new)
