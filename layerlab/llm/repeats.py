@@ -15,6 +15,10 @@ built apart:
    occurrences are put in order of the bytes before the gram: where two differ
    (left diversity) a group ends, and groups with a common left part of at least
    `window` - R bytes are maximal repeats. All occurrences of a group come out.
+   A run of a short word (ruled lines, blanks, one letter) repeats itself: a window
+   that equals the one a period before it is settled there, as part of the run, and
+   only the first windows of the run, all that differ, go into the tree. All runs of
+   one word are one group.
 4. The grams at the ends of a range may go on in the next one, as a passage does
    that is in a third of all documents. Each of their windows then goes out once
    for each range, and a grouped count and a join tell those that other ranges
@@ -51,17 +55,62 @@ from layerlab.plans.materialize import via_parquet
 
 WINDOW = 200
 GRAM = 64
+#: Runs of words shorter than this are settled where they stand.
+PERIOD = 64
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 SEGMENT = "gram long, bytes binary, at int, doc long, place long"
 
 
-def _segments(text: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first window, end, anchor, gram) of the segments, piece by piece."""
+def self_repeats(
+    data: np.ndarray, first: np.ndarray, end: np.ndarray, anchor: np.ndarray, grams: np.ndarray, window: int
+) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, period, segment) of the runs of words below `PERIOD` bytes in `data`.
+
+    In a run the same gram is the minimiser again a period later, so only segments
+    that follow each other like this are compared byte by byte.
+    """
+    step = np.diff(anchor)
+    step[(grams[1:] != grams[:-1]) | (step >= PERIOD)] = 0
+    if not step.any():
+        return
+    edges = np.append(np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1]))), len(step))
+    for k, after in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        period = int(step[k])
+        if not period:
+            continue
+        low = int(first[k])
+        part = data[low : int(end[after]) - 1 + window]
+        same = np.concatenate(([False], part[period:] == part[:-period], [False]))
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            if b - a >= window:
+                yield low + a, low + b + period, period, k
+
+
+def _segments(text: bytes, window: int, gram: int) -> Iterator[tuple]:
+    """(first window, end, anchor, gram, runs) of the segments, piece by piece.
+
+    Runs are (start, end, word, gram), the word turned so that it is the smallest;
+    windows of a run that equal one before them are in no segment.
+    """
     data = np.frombuffer(text, np.uint8)
     for low in range(0, max(0, len(data) - window + 1), PIECE):
-        units = _BYTE_VALUES[data[low : low + PIECE + window - 1]]
-        first, end, anchor, grams = segments(units, window, gram)
-        yield first + low, end + low, anchor + low, grams.view(np.int64)
+        piece = data[low : low + PIECE + window - 1]
+        first, end, anchor, grams = segments(_BYTE_VALUES[piece], window, gram)
+        runs, kept = [], None
+        for a, b, period, k in self_repeats(piece, first, end, anchor, grams, window):
+            word = piece[a : a + period].tobytes()
+            word = min(word[j:] + word[:j] for j in range(period))
+            runs.append((a + low, b + low, word, int(grams[k].view(np.int64))))
+            kept = np.ones(int(end[-1]), bool) if kept is None else kept
+            kept[a + period : b - window + 1] = False
+        if kept is not None:
+            at = np.flatnonzero(kept)
+            owner = np.repeat(np.arange(len(first)), end - first)[at]
+            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (np.diff(at) > 1)))
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)
+            first, end, anchor, grams = at[new], at[last] + 1, anchor[owner[new]], grams[owner[new]]
+        yield first + low, end + low, anchor + low, grams.view(np.int64), runs
 
 
 def repeated_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -76,7 +125,10 @@ def repeated_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             size = 0
             for k, text in enumerate(as_bytes(batch.column("text"))):
                 doc, mark = batch.column("doc")[k].as_py(), batch.column("mark")[k].as_py()
-                for _, _, _, grams in _segments(text, window, gram):
+                for _, _, _, grams, runs in _segments(text, window, gram):
+                    if runs:  # the gram of a run is there again, in the windows left out
+                        again = np.array([own for *_, own in runs for _ in range(2)], np.int64)
+                        grams = np.concatenate((grams, again))
                     held.append((grams, np.full(len(grams), doc), np.full(len(grams), mark)))
                     size += len(grams)
                 if size >= PIECE or (k == len(batch) - 1 and held):
@@ -116,7 +168,8 @@ def segments_of(docs: DataFrame, grams: DataFrame, window: int = WINDOW, gram: i
     """(gram, bytes, at, doc, place): segments around the given grams.
 
     `at` is the place of the gram in the segment, `place` that of the segment in
-    the document << 32 | mark.
+    the document << 32 | mark. A run has its word in place of the bytes and its
+    length, negative, as `at`.
     """
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -125,7 +178,8 @@ def segments_of(docs: DataFrame, grams: DataFrame, window: int = WINDOW, gram: i
         for k, text in enumerate(texts):
             wanted = np.asarray(batch.column("grams")[k].values)
             doc, mark = batch.column("doc")[k].as_py(), batch.column("mark")[k].as_py()
-            for first, end, anchor, own in _segments(text, window, gram):
+            for first, end, anchor, own, runs in _segments(text, window, gram):
+                rows += [(g, word, a - b, doc, a << 32 | mark) for a, b, word, g in runs]
                 for j in np.flatnonzero(np.isin(own, wanted)).tolist():
                     low, high = int(first[j]), int(end[j]) - 1 + window
                     rows.append((int(own[j]), text[low:high], int(anchor[j]) - low, doc, low << 32 | mark))
@@ -244,6 +298,9 @@ def repeats_of_ranges(window: int, every: bool):
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "bytes", "at", "doc", "place"))):
                 opening = row[0] if opening is None else opening
+                if row[2] < 0:  # a run
+                    yield occurrence(row, 0, -row[2], xxhash.xxh3_64_intdigest(row[1]) - (1 << 63))
+                    continue
                 if members and members[-1][0] == row[0] and members[-1][1] == row[1]:
                     repeat = xxhash.xxh3_64_intdigest(row[1]) - (1 << 63)
                     if not copied[-1]:

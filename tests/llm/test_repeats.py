@@ -100,6 +100,50 @@ def test_bytes_that_occur_again(spark, docs, text_of, partitions):
     assert got == brute_bytes(rows)
 
 
+def test_segments_of_runs_stay_small(text_of):
+    r = random.Random(9)
+    for period in range(1, 65):
+        word = bytes(r.randrange(256) for _ in range(period))
+        text = b"before " + (word * (20_000 // period + 1))[:20_000] + b" after"
+        size, seen, covered = 0, set(), np.zeros(len(text), bool)
+        for first, end, _, _, runs in repeats._segments(text, 200, 64):
+            for a, b in zip(first.tolist(), end.tolist()):
+                size += b - a + 199
+                seen.update(text[k : k + 200] for k in range(a, b))
+            for a, b, _, _ in runs:
+                covered[a:b] = True
+        assert size <= 5 * len(text)
+        assert seen == {text[k : k + 200] for k in range(len(text) - 199)}
+        if period < repeats.PERIOD:
+            assert size < 2_000 and covered[7:-6].all() and covered.sum() <= len(text) - 10
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+@pytest.mark.parametrize("piece", [700, 1 << 18])
+def test_runs_against_brute_force(monkeypatch, spark, docs, text_of, partitions, piece):
+    words = [" ".join(text_of(300 + k, 60)) for k in range(12)]
+    texts = [
+        "a" * 30_000, "a" * 200, "a" * 199, "b" * 201, "c" * 200, "ab" * 150 + words[0], words[1] + "ba" * 100,
+        ("-" * 500 + "\n") * 20, words[2] + " " * 900 + words[3], " " * 900 + words[2], ("xyz" * 70) + ("xy" * 130),
+        "".join(chr(33 + k) for k in range(63)) * 9, "".join(chr(33 + k) for k in range(64)) * 9, words[4],
+        "d" * 250 + words[5] + "d" * 210, words[6] + "e" * 199 + words[7], "é" * 400, "f" * 199 + "g" * 199, words[8] + "h" * 200,
+    ]
+    rows = list(enumerate(texts)) + [(100, None), (101, "")]
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = repeats.repeat_dedup(docs(rows)).collect()
+        groups = repeats.repeated_spans(documents(docs([(1, "ab" * 200), (2, "x" + "ba" * 300)])), every=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.starts), bytes(r.kept)) for r in out}
+    assert got == brute_bytes(rows)
+    by_doc = defaultdict(set)
+    for s in groups:
+        by_doc[s.doc].add(s.repeat)
+    assert by_doc[1] & by_doc[2], "runs of one word are one group"
+
+
 def test_long_text_in_pieces(monkeypatch, docs, text_of):
     words = text_of(5, 3000)
     rows = [(1, " ".join(words)), (2, " ".join(words[700:1500] + text_of(6, 20) + words[:90]))]
