@@ -11,9 +11,11 @@ pairs of `SIMILARITY` or more, classes their connected components.
 
 Equal word sequences are one text from the start. A sketch shared by many texts
 is not compared pair by pair: one text leads it, the one that shares most
-sketches altogether (the original, in a group of edited copies), and all others
-are compared with it. Texts that do not join its class are led by another in the
-next round, up to `LED_ROUNDS` or a round without a link. What is left of groups
+sketches altogether (the original, in a group of edited copies). Each text is
+first compared with the leader of its largest group; then, in the groups that still
+hold two classes, all others are compared with the leader. Texts that do not join its class are led by another in the
+next round, up to `LED_ROUNDS` or a round that links fewer than `LEAST_YIELD` of its
+pairs: such groups share a passage and are mostly not alike. What is left of groups
 that still hold two classes is joined exactly by the rarest shingles of the texts,
 so no pair of a group goes uncompared. A text leads or follows in `SKETCHES`
 groups. With five minima and 32 sketches a pair of similarity 0.8
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerlab.llm.common import (
@@ -61,6 +63,7 @@ SKETCHES = 32
 MINIMA = 5
 REMEMBERED_TEXTS = 2_000
 LED_ROUNDS = 8
+LEAST_YIELD = 0.1
 EXACT_BELOW = 30
 
 _SALTS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * ODD)
@@ -330,6 +333,18 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, least: float) -> DataFrame:
     )
 
 
+def _alike(least: float) -> Column:
+    """Whether n and top_n shingles are near enough for a similarity of `least`."""
+    return F.least("n", "top_n") >= F.greatest("n", "top_n") * least
+
+
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of sketch groups with the root of each text, its own key where it has no link."""
+    rows = members.select("sketch", "text_key", "n", "weight")
+    named = rows.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
+    return named.withColumn("root", F.coalesce("root", "text_key"))
+
+
 def text_links(
     docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
 ) -> tuple[DataFrame, DataFrame]:
@@ -343,20 +358,29 @@ def text_links(
     groups = texts.select("text_key", "n", "row", F.explode("sketches").alias("sketch"))
     shared = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     active = via_parquet(groups.join(shared.hint("merge"), "sketch"), "sketch-groups")
-    weight = active.groupBy("text_key").agg(F.sum("size").alias("weight"), F.first("row").alias("row"))
+    weight = active.groupBy("text_key").agg(
+        F.sum("size").alias("weight"),
+        F.max(F.struct("size", "sketch"))["sketch"].alias("home"),
+        F.first("row").alias("row"),
+        F.first("n").alias("n"),
+    )
     weight = _kept(weight, "text-weights")
     words = via_parquet(_word_table(docs, weight.select("row.*", "text_key")), "words")
     active = via_parquet(
-        active.join(weight.select("text_key", "weight"), "text_key").select(
-            "sketch", "text_key", "n", "weight", F.col("text_key").alias("root")
-        ),
+        active.join(weight.select("text_key", "weight"), "text_key").select("sketch", "text_key", "n", "weight"),
         "sketch-groups",
     )
-    found = roots = None
+    rank = F.struct("weight", "text_key")
+    # at first each text follows in its largest group only, which settles most of the others
+    heads = active.groupBy("sketch").agg(F.max_by("text_key", rank).alias("b"), F.max_by("n", rank).alias("top_n"))
+    homes = weight.select(F.col("home").alias("sketch"), F.col("text_key").alias("a"), "n")
+    first = homes.join(heads, "sketch").filter((F.col("a") != F.col("b")) & _alike(least)).select("a", "b")
+    found = _kept(_links(_kept(first, "pairs"), words, least), "links")
+    roots = components(found)
+    active = _kept(_named(active, roots), "sketch-groups")
     # a group whose texts all have one root is settled: it gets no leader
     several_roots = F.min("root").alias("first_root"), F.max("root").alias("last_root")
     for _ in range(LED_ROUNDS):
-        rank = F.struct("weight", "text_key")
         leaders = (
             active.groupBy("sketch")
             .agg(
@@ -369,25 +393,23 @@ def text_links(
             .select("sketch", F.col("top.text_key").alias("b"), "top_root", "top_n")
         )
         leaders = _kept(leaders, "leaders")
-        if found is not None and leaders.isEmpty():
+        if leaders.isEmpty():
             return found, roots
-        alike = F.least("n", "top_n") >= F.greatest("n", "top_n") * least
         # each member beside its leader; the leaders themselves have been in their last round
         led = _kept(active.join(leaders, "sketch").filter("text_key <> b"), "led")
         pairs = (
-            led.filter((F.col("root") != F.col("top_root")) & alike)
+            led.filter((F.col("root") != F.col("top_root")) & _alike(least))
             .select(F.col("text_key").alias("a"), "b")
             .distinct()
         )
-        new = _kept(_links(_kept(pairs, "pairs"), words, least), "links")
-        linked = not new.isEmpty()
-        if linked or found is None:
-            found = new if found is None else found.unionByName(new)
+        pairs = _kept(pairs, "pairs")
+        new = _kept(_links(pairs, words, least), "links")
+        n_new = new.count()
+        if n_new:
+            found = found.unionByName(new)
             roots = components(found)
-        rest = led.select("sketch", "text_key", "n", "weight")
-        named = rest.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
-        active = _kept(named.withColumn("root", F.coalesce("root", "text_key")), "sketch-groups")
-        if not linked:
+        active = _kept(_named(led, roots), "sketch-groups")
+        if n_new < LEAST_YIELD * pairs.count():
             break
     several = active.groupBy("sketch").agg(*several_roots).filter("first_root <> last_root").select("sketch")
     active = _kept(active.join(several, "sketch", "left_semi"), "sketch-groups")
