@@ -44,10 +44,9 @@ def labelled_corpus(
 ) -> DataFrame:
     """(row_id, split, clean_text, labels): sentence marks kept, labels as text.
 
-    `emoji` maps symbols to names; without it the names come from the Unicode
-    database, with {} symbols are dropped.
+    `emoji` maps symbols to names, as `emoji_names_by_rule()` does; without it they
+    are dropped with the other marks.
     """
-    emoji = X.emoji_names_by_rule() if emoji is None else emoji
     rows = load_labelled(spark, train, test, validation)
     clean = X.clean_text_keep_punct(F.col("text"), table, emoji)
     return rows.select("row_id", "split", clean.alias("clean_text"), "labels")
@@ -83,7 +82,6 @@ def survey_corpus(
     The row id grows in file order; repeats over all columns are dropped.
     `emoji` as in labelled_corpus.
     """
-    emoji = X.emoji_names_by_rule() if emoji is None else emoji
     rows = read_survey(spark, path).withColumn("row_id", F.monotonically_increasing_id())
     first = dedup_rows(rows, "row_id")
     clean = X.clean_text_alnum(F.col("SIT"), table, emoji)

@@ -27,25 +27,30 @@ from layerlab.queries.base import (
 )
 
 
+_NAMED = {k: f":{v}:" for k, v in SYMBOL_NAMES.items()}
+
+
 def _clean_sql(column: str, keep: str, pairs: dict[str, str]) -> str:
-    replaced = sql_replace(f"lower(coalesce({column}, ''))", pairs)
+    replaced = sql_replace(sql_replace(f"lower(coalesce({column}, ''))", pairs), _NAMED)
     kept = f"regexp_replace({replaced}, '[^a-zA-Z0-9{keep}{BLANKS}]', '', 'g')"
     return f"trim(regexp_replace({kept}, '[{BLANKS}]+', ' ', 'g'))"
 
 
 @query("f1_clean_text_keep_punct", f"SELECT page_id, {_clean_sql('html', '.,!?', EMOTICONS)} AS clean_text FROM pages")
 def f1(spark, d):
-    return corpus(spark, d, "pages").select("page_id", X.clean_text_keep_punct(F.col("html")).alias("clean_text"))
+    clean = X.clean_text_keep_punct(F.col("html"), emoji=SYMBOL_NAMES)
+    return corpus(spark, d, "pages").select("page_id", clean.alias("clean_text"))
 
 
 @query("f2_clean_text_alnum", f"SELECT doc_id, {_clean_sql('text', '', EMOTICONS)} AS clean_text FROM documents")
 def f2(spark, d):
-    return corpus(spark, d).select("doc_id", X.clean_text_alnum(F.col("text")).alias("clean_text"))
+    clean = X.clean_text_alnum(F.col("text"), emoji=SYMBOL_NAMES)
+    return corpus(spark, d).select("doc_id", clean.alias("clean_text"))
 
 
 @query(
     "f3_emoji_to_name",
-    f"SELECT doc_id, {sql_replace('text', {k: f':{v}:' for k, v in SYMBOL_NAMES.items()})} AS named FROM documents",
+    f"SELECT doc_id, {sql_replace('text', _NAMED)} AS named FROM documents",
 )
 def f3(spark, d):
     return corpus(spark, d).select("doc_id", X.emoji_to_name(F.col("text"), SYMBOL_NAMES).alias("named"))

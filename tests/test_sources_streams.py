@@ -192,3 +192,8 @@ def test_corpora_end_to_end(spark, tmp_path):
     survey.write_text("|".join(SURVEY_FIELDS) + "|\n" + row + "\n" + row + "\n")
     got = corpora_plan.survey_corpus(spark, str(survey)).collect()
     assert [(r.clean_text, r.labels) for r in got] == [("i was like sad scared", 2)]
+    smile = tmp_path / "smile.csv"
+    smile.write_text("text,labels,id\nok 😸!,[1],e\n")
+    for emoji, clean in ((None, "ok !"), ({"😸": "grinning_cat"}, "ok grinningcat!")):
+        got = corpora_plan.labelled_corpus(spark, str(smile), *paths[1:], emoji=emoji).filter("split = 'train'").collect()
+        assert [r.clean_text for r in got] == [clean]

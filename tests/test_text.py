@@ -56,6 +56,18 @@ def test_emoji_names(spark):
     assert one(spark, "ok 😸🤣", apart) == "ok grinningcat rofl"
 
 
+def test_emoji_sequences_and_flags(spark):
+    names = {"👩": "woman", "💻": "laptop", "👩\u200d💻": "technologist", "🇫🇷": "flag_fr", "🇫🇮": "flag_fi", "❤": "heart"}
+    fn = lambda c: X.emoji_to_name(c, names)
+    assert one(spark, "👩\u200d💻👩💻", fn) == ":technologist::woman::laptop:"
+    assert one(spark, "🇫🇮🇫🇷", fn) == ":flag_fi::flag_fr:"
+    keep = lambda c: X.clean_text_keep_punct(c, emoji=names)
+    # a joiner or a selector that belongs to no key is dropped with the other marks
+    assert one(spark, "Hi, ❤\ufe0f 👩\u200d👩!", keep) == "hi, heart womanwoman!"
+    assert one(spark, "🇫🇷 oui", lambda c: X.clean_text_alnum(c, emoji=names)) == "flagfr oui"
+    assert one(spark, None, keep) == ""
+
+
 def test_emoji_rule_table():
     names = X.emoji_names_by_rule()
     assert names["😀"] == "grinning_face" and len(names) > 1000
