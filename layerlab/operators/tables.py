@@ -154,24 +154,17 @@ def assign_row_id(df: DataFrame, order_id: str, out: str = "row_id", group: Sequ
 def union_splits(
     splits: dict[str, DataFrame], position: str, out: str = "row_id"
 ) -> DataFrame:
-    """Bag union in dict order with a new dense row id over the whole union."""
+    """Bag union in dict order with a new dense row id over the whole union.
+
+    One prefix sum over (split, position): the splits are read for its digits and
+    for the rows.
+    """
     parts = [
         df.withColumn("split", F.lit(name)).withColumn("_ord", F.lit(i))
         for i, (name, df) in enumerate(splits.items())
     ]
     union = reduce(lambda a, b: a.unionByName(b), parts)
-    sizes = union.groupBy("_ord").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per split, so window and broadcast are as small as the dict
-    earlier = Window.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(
-        sizes.select("_ord", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
-    placed = dense_positions(union, position, "_at", ["_ord"])
-    return (
-        placed.join(starts, "_ord")
-        .withColumn(out, F.col("_at") + F.col("_start"))
-        .drop("_at", "_start", "_ord")
-    )
+    return dense_positions(union, position, out, first=["_ord"]).drop("_ord")
 
 
 def dedup_rows(

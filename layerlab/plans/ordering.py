@@ -50,11 +50,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def running_sums(
-    df: DataFrame, key: str, values: dict[str, Column], group: Sequence[str] = ()
+    df: DataFrame, key: str, values: dict[str, Column], group: Sequence[str] = (), first: Sequence[str] = ()
 ) -> DataFrame:
     """Add, for each `out: value`, the sum over the group's rows with a smaller key.
 
-    `key` is a long that is unique within the group. All sums share the same
+    `key` is a long that is unique within the group. Rows are ordered by the columns
+    `first` before it; it need be unique within their values only. All sums share the same
     shuffle of the rows; the digit tables are aggregates.
     """
     outs = list(values)
@@ -71,13 +72,13 @@ def running_sums(
     # struct keys: equal also where a group column is null, and the window and
     # the join below share one partitioning of the rows
     keyed = df.withColumns({f"_v_{o}": c for o, c in values.items()}).withColumn(
-        "_k1", F.struct(*group, digit(F.col(key), 1))
+        "_k1", F.struct(*group, *first, digit(F.col(key), 1))
     )
     low = keyed.groupBy("_k1").agg(*sums({f"_s_{o}": f"_v_{o}" for o in outs}))
-    low = low.withColumn("_k2", F.struct(*[F.col(f"_k1.{g}").alias(g) for g in group], digit(F.col("_k1.d"), 1)))
+    low = low.withColumn("_k2", F.struct(*[F.col(f"_k1.{g}").alias(g) for g in [*group, *first]], digit(F.col("_k1.d"), 1)))
     high = low.groupBy("_k2").agg(*sums({f"_t_{o}": f"_s_{o}" for o in outs}))
     whole = F.struct(*[F.col(f"_k2.{g}").alias(g) for g in group], F.lit(0).alias("one"))
-    w_high = Window.partitionBy(whole).orderBy("_k2.d").rowsBetween(*before)
+    w_high = Window.partitionBy(whole).orderBy(*[f"_k2.{c}" for c in first], "_k2.d").rowsBetween(*before)
     high = high.select(F.col("_k2").alias("_j2"), *sums({f"_h_{o}": f"_t_{o}" for o in outs}, w_high))
     w_low = Window.partitionBy("_k2").orderBy("_k1.d").rowsBetween(*before)
     low = low.select("_k1", "_k2", *sums({f"_l_{o}": f"_s_{o}" for o in outs}, w_low))
@@ -93,10 +94,10 @@ def running_sums(
 
 
 def dense_positions(
-    df: DataFrame, key: str, out: str, group: Sequence[str] = ()
+    df: DataFrame, key: str, out: str, group: Sequence[str] = (), first: Sequence[str] = ()
 ) -> DataFrame:
-    """Add `out`: 0-based position of the row by `key` within the group."""
-    return running_sums(df, key, {out: F.lit(1).cast("long")}, group)
+    """Add `out`: 0-based position of the row by `first`, then `key`, within the group."""
+    return running_sums(df, key, {out: F.lit(1).cast("long")}, group, first)
 
 
 def hash_order(seed: int | str, key: Column) -> Column:

@@ -118,6 +118,22 @@ def test_dedup_keeps_first(spark):
     assert [(r.row_id, r.t) for r in kept] == [(0, "a"), (4, "a")]
 
 
+def test_union_of_splits_by_one_prefix_sum(spark, tmp_path):
+    far = [0, 1, 1 << 20, 1 << 33, (1 << 41) + 5, 1 << 62]
+    frames = {}
+    for name, places in (("z", far), ("none", []), ("a", far[::-1] + [7])):
+        spark.createDataFrame([(p, f"{name}{p}") for p in places], "pos long, v string").write.parquet(str(tmp_path / name))
+        frames[name] = spark.read.parquet(str(tmp_path / name))
+    out = TB.union_splits(frames, "pos")
+    got = [(r.row_id, r.split, r.pos) for r in out.orderBy("row_id").collect()]
+    assert [g[0] for g in got] == list(range(13))
+    assert [g[1:] for g in got] == [("z", p) for p in sorted(far)] + [("a", p) for p in sorted([*far, 7])]
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # each split is read for the digits and for the rows; the digits are reused
+    assert len(frames) <= plan.count("FileScan parquet") <= 2 * len(frames)
+
+
 def test_union_order(spark):
     a = spark.createDataFrame([(5, "p"), (9, "q")], "pos long, t string")
     b = spark.createDataFrame([(1, "r")], "pos long, t string")
