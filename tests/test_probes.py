@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from layerlab.operators import evaluation as E
 from layerlab.operators.tables import skip_done_batches, stratified_split
 from layerlab.plans import descent as D
+from layerlab.plans import networks as N
 from layerlab.plans import probes as P
 from layerlab.plans import tuning as T
 from layerlab.plans.analysis import LayerAnalysis, analyze_layers, labelled_vectors
@@ -58,6 +59,47 @@ def test_mlp_and_plan(data):
     assert set(got) == {(0, 0), (1, 0), (0, 1), (1, 1)} and got[(1, 1)] > 0.8
 
 
+def test_networks_of_all_layers_share_their_passes(data, monkeypatch):
+    """As many passes as the longest fit needs, not as all fits; every core has rows of a layer."""
+    passes, plain = [], N._pass
+    monkeypatch.setattr(N, "_pass", lambda blocks, weights, sizes: passes.append(sorted(weights)) or plain(blocks, weights, sizes))
+    predicted, failures = P.probe_mlp(data, [8], 5)
+    assert not failures and passes[0] == [0, 1] and len(passes) < 20
+    assert scores(predicted, failures)[1, 1] > 0.5
+    blocks = N.training_blocks(data, data.layers)
+    rows = blocks.map(lambda r: (r[0], len(r[1]))).glom().collect()
+    assert all(len({k for k, _ in part}) == 1 for part in rows)
+    sizes = [sum(n for _, n in part) for part in rows]
+    assert sum(sizes) == 240 and max(sizes) - min(sizes) <= 8
+
+
+def test_slope_of_a_network_and_its_lowest_point():
+    rng = np.random.default_rng(5)
+    x, bits, sizes = rng.normal(0, 1, (40, 3)), np.eye(4)[rng.integers(0, 4, 40)], [3, 5, 4]
+    w = N.initial_weights(sizes, 1)
+    slope = N.loss_and_slope(w, sizes, x, bits)[1]
+    for k in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        assert abs((N.loss_and_slope(up, sizes, x, bits)[0] - N.loss_and_slope(down, sizes, x, bits)[0]) / 2e-6 - slope[k]) < 1e-5
+    scale, goal = np.arange(1.0, 9.0) ** 2, np.arange(8.0)
+    steps = N.lbfgs(np.zeros(8), 100, 1e-12)
+    at = next(steps)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            at = steps.send((float(scale @ (at - goal) ** 2), 2 * scale * (at - goal)))
+    np.testing.assert_allclose(end.value.value, goal, atol=1e-4)
+
+
+def test_layers_without_classes_or_vectors_have_a_reason(spark):
+    rows = [(i, k, (None if (k, i) == (1, 0) else i % 2), "train", [float(i % 2), float(i)]) for i in range(20) for k in (0, 1)]
+    odd = P.ProbeData(spark.createDataFrame(rows, "sample_id long, layer int, label int, split string, vec array<double>"), scale=False)
+    predicted, failures = P.probe_mlp(odd, [4], 5)
+    assert [f[:2] for f in failures] == [(1, 1)] and "without a class: 1" in failures[0][2]
+    assert {r.layer for r in predicted.select("layer").distinct().collect()} == {0}
+
+
 def test_failing_layer_scores_zero(data, monkeypatch):
     plain = data.layer
     monkeypatch.setattr(data, "layer", lambda k: plain(k).drop("features") if k == 0 else plain(k))
