@@ -1,8 +1,8 @@
 """Tuning grids and training logs.
 
 Trials without hidden layers are linear heads, trained together (plans.descent):
-loss, learning rate, weight decay and epochs act. Trials with hidden layers are Spark
-ML networks with cross-entropy, fitted in chunks of iterations from the weights of the
+loss, learning rate, weight decay and epochs act. Trials with hidden layers are networks
+(plans.networks) with cross-entropy, fitted in chunks of iterations from the weights of the
 last chunk: hidden layers and epochs act. Settings that act alike share one fit; what
 does not act is marked in each trial. A trial that cannot be fitted has its reason.
 """
@@ -10,16 +10,14 @@ does not act is marked in each trial. A trial that cannot be fitted has its reas
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerlab.functions.losses import nll_row
 from layerlab.operators.evaluation import accuracy, confusion_counts, macro_f1, micro_f1, multilabel_metrics
+from layerlab.plans import networks
 from layerlab.plans.descent import LOSSES, Head, predict, train_heads
 from layerlab.plans.materialize import via_parquet
 from layerlab.plans.probes import ProbeData
@@ -40,47 +38,46 @@ def chunked_network(
     chunk: int,
     patience: int | None = None,
     seed: int = 42,
-    threads: int = 4,
-    block_size: int = 128,
 ) -> DataFrame:
     """Predictions after each chunk of iterations: (layer, depth, epoch, split, sample_id, y, yhat, logits).
 
     A chunk starts from the weights of the one before. `patience` counts chunks
     without a lower validation loss. No hidden layer gives softmax regression.
-    Spark's network averages over blocks of rows, so that rows of the last, shorter
-    block of a partition weigh more; with `block_size` 1 the solver lowers the plain
-    mean loss, at more time a row.
+    All layers are fitted together; the loss that is lowered is the plain mean
+    over the training rows.
     """
-
-    def one(layer: int) -> list[DataFrame]:
-        rows = data.layer(layer)
-        train = rows.filter("split = 'train'")
-        sizes = [data.shapes[layer][0], *hidden, data.classes]
-        model, out, lowest, waited = None, [], float("inf"), 0
+    bad = networks.unfit(data)
+    if bad:
+        raise ValueError(f"layers that cannot be fitted: {bad}")
+    sizes = {k: [w, *hidden, data.classes] for k, (w, _) in data.shapes.items()}
+    rows = {k: n for k, (_, n) in data.shapes.items()}
+    weights = {k: networks.initial_weights(s, seed) for k, s in sizes.items()}
+    lowest, waited, out = dict.fromkeys(sizes, float("inf")), dict.fromkeys(sizes, 0), []
+    blocks = networks.training_blocks(data, data.layers)
+    try:
         for start in range(0, epochs, chunk):
-            net = MultilayerPerceptronClassifier(layers=sizes, maxIter=min(chunk, epochs - start), seed=seed, blockSize=block_size)
-            if model is not None:
-                net.setInitialWeights(model.weights)
-            model = net.fit(train)
-            scored = model.transform(rows).select(
-                F.lit(layer).alias("layer"), F.lit(len(hidden)).alias("depth"),
-                F.lit(min(start + chunk, epochs)).alias("epoch"), "split", "sample_id", F.col("label").cast("int").alias("y"),
-                F.col("prediction").cast("int").alias("yhat"), vector_to_array("rawPrediction").alias("logits"),
+            weights = networks.train(blocks, weights, sizes, rows, min(chunk, epochs - start))
+            scored = networks.predict(data, weights, sizes).select(
+                "layer", F.lit(len(hidden)).alias("depth"), F.lit(min(start + chunk, epochs)).alias("epoch"),
+                "split", "sample_id", "y", "yhat", "logits",
             )
             out.append(via_parquet(scored, "chunk"))
             if patience is None:
                 continue
-            loss = out[-1].filter("split <> 'train'").agg(F.avg(nll_row(F.col("logits"), F.col("y")))).first()[0]
-            if loss is not None and loss < lowest:
-                lowest, waited = loss, 0
-            else:
-                waited += 1
-            if waited >= patience:
+            found = out[-1].filter("split <> 'train'").groupBy("layer").agg(F.avg(nll_row(F.col("logits"), F.col("y"))).alias("loss"))
+            losses = {r.layer: r.loss for r in found.collect()}
+            for k in list(weights):
+                if losses.get(k) is not None and losses[k] < lowest[k]:
+                    lowest[k], waited[k] = losses[k], 0
+                else:
+                    waited[k] += 1
+                if waited[k] >= patience:
+                    del weights[k]
+            if not weights:
                 break
-        return out
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        return reduce(DataFrame.unionByName, [x for found in pool.map(one, data.layers) for x in found])
+    finally:
+        blocks.unpersist()
+    return reduce(DataFrame.unionByName, out)
 
 
 def epoch_log(predictions: DataFrame) -> DataFrame:
@@ -135,7 +132,6 @@ def tune(
     labels: str | None = None,
     classes: int | None = None,
     seed: int = 42,
-    threads: int = 4,
 ) -> DataFrame:
     """One row per layer and trial of the grid: params, what acts, test metrics, status.
 
@@ -165,7 +161,7 @@ def tune(
         asked = sorted({p["epochs"] for p, r in zip(full, reasons) if not r and tuple(p["hidden_layers"]) == hidden})
         step = min(b - a for a, b in zip([0, *asked], asked))
         try:
-            chunks = chunked_network(data, hidden, asked[-1], step, seed=seed, threads=threads)
+            chunks = chunked_network(data, hidden, asked[-1], step, seed=seed)
             log = epoch_log(chunks).collect()
             found = _metrics(chunks, ["layer", "epoch"], many).collect()
         except Exception as error:  # noqa: BLE001 - a trial fails, the others go on
