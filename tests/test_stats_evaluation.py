@@ -222,3 +222,20 @@ def test_experiment_results(spark):
     assert got == {"a": (0.5, 0.5), "b": (1.0, 0.0)}
     many = spark.createDataFrame([("a", [1, 0], [1, 1]), ("a", [0, 0], [0, 0])], "layer string, bits array<int>, pred array<int>")
     assert X.experiment_results(many, ["layer"], multilabel=True).first()[1:] == (0.5, 0.25)
+
+
+def test_distance_sums_go_to_both_sides_over_tiles(monkeypatch):
+    """One pass over the pairs gives both sums; a NaN stays with its class; equal vectors are at 0."""
+    monkeypatch.setattr(S, "TILE", (3, 4))
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (10, 3)), rng.normal(0, 1, (13, 3))
+    y[2], y[12] = x[1], np.nan
+    x_starts, y_starts = np.array([0, 1, 6]), np.array([0, 4, 11])
+    with np.errstate(invalid="ignore"):
+        of_x, of_y = S._class_sums(x, y, x_starts, y_starts)
+    dist = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=-1))
+    np.testing.assert_allclose(of_x, np.add.reduceat(dist, y_starts, axis=1), atol=1e-12)
+    np.testing.assert_allclose(of_y, np.add.reduceat(dist, x_starts, axis=0).T, atol=1e-12)
+    swapped = S._class_sums(y, x, y_starts, x_starts)
+    np.testing.assert_allclose(swapped[0], of_y, atol=1e-12)
+    np.testing.assert_allclose(swapped[1], of_x, atol=1e-12)
