@@ -12,6 +12,7 @@ from layerlab.functions.text import remove_stop_words, tokenize_words
 from layerlab.plans.materialize import inline_if_small, via_parquet
 from layerlab.plans.ordering import exact_quantiles, null_safe_join
 
+BLOCK_BYTES = 16 << 20  # text of one block of documents in tfidf
 
 # ---- distributions -----------------------------------------------------------
 
@@ -228,21 +229,37 @@ def tfidf(
 ) -> DataFrame:
     """(doc, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), L2-normed per document.
 
-    Document frequencies read the same shuffled counts as the main branch (one
-    tokenisation). The term join is left to adaptive execution: a small idf
-    table is broadcast, otherwise partitions of frequent terms are split. The
-    norm is a window over one document's distinct terms.
+    Texts are counted in blocks of BLOCK_BYTES, so that the counts of a task fit
+    its hash table whatever the files; rows that share a document id are counted
+    where they lie and meet by (document, term), so that no id fills a task. The
+    counts go to blocks of documents once. Each block sends its distinct terms
+    to the total and gets their idf back: the counts are never sent to a term,
+    and a frequent term is one row a block. The norm is a window over one
+    document's distinct terms, inside its block.
     """
-    counts = doc_terms(df, doc, text, stop_words, only, keep)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    # counting tf > 0 keeps the column, so that the exchange below is shared
-    seen = F.sum((F.col("tf") > 0).cast("long"))
-    idf = counts.groupBy("term").agg((F.log((1.0 + n) / (1.0 + seen)) + 1.0).alias("_idf"))
-    raw = counts.join(idf, "term").select(doc, *keep, "term", "tf", (F.col("tf") * F.col("_idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    rows = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length(text)).alias("_b"))
+    size = rows.agg(F.sum("_n").alias("n"), F.max("_n").alias("most"), F.sum("_b").alias("bytes")).first()
+    n, blocks = size["n"] or 0, _blocks(df, size["bytes"] or 0)
+    texts = df.repartition(blocks, doc) if size["most"] == 1 else df
+    counts = doc_terms(texts, doc, text, stop_words, only, keep)
+    block = F.coalesce(F.pmod(F.hash(doc), F.lit(blocks)), F.lit(0))
+    dealt = counts.withColumn("_block", block).repartitionById(blocks, F.col("_block"))
+    # always true; reads what the join reads, so that both share the exchange of `dealt`
+    here = (F.col("tf") > 0) & (F.col("_block") == block)
+    seen = dealt.groupBy("_block", "term").agg(F.sum(here.cast("long")).alias("_seen"))
+    total = F.sum("_seen").over(Window.partitionBy("term"))
+    idf = seen.select("_block", "term", (F.log((1.0 + n) / (1.0 + total)) + 1.0).alias("_idf"))
+    there = idf.repartitionById(blocks, F.col("_block")).hint("shuffle_hash")
+    raw = dealt.join(there, ["_block", "term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc, "_block")))
     return raw.select(doc, *keep, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
 
+def _blocks(df: DataFrame, size: int) -> int:
+    """Blocks for `size` bytes of text, at least as many as there are shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+
+
 def tfidf_totals(df: DataFrame, doc: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """Sum of normalised TF-IDF per term."""
     return tfidf(df, doc, text, stop_words).groupBy("term").agg(F.sum("weight").alias("total"))

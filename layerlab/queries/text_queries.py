@@ -149,7 +149,8 @@ def _tfidf_sql(stop: list[str] | None = None, vocabulary: str | None = None) ->
 )
 def f11(spark, d):
     w = C.tfidf(corpus(spark, d), "doc_id", "text")
-    return w.select("doc_id", "term", "tf", r6("weight").alias("weight"))
+    # weights are above zero: no negative zero to replace
+    return w.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 _TOP_SQL = f"""tok AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents),

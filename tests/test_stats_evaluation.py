@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +191,31 @@ def test_corpus_edges(spark):
     assert [r.n for r in flat] == [2, 0]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tfidf_over_blocks(spark, monkeypatch, capsys, repeated):
+    """Many blocks give the plain weights; ids may repeat or be null; counts are dealt once and never by term."""
+    monkeypatch.setattr(C, "BLOCK_BYTES", 300, raising=False)
+    rng = random.Random(5)
+    rows = [(d, " ".join(["every"] + [f"w{int(rng.expovariate(0.1))}" for _ in range(12)]), "ab"[d % 2]) for d in range(60)]
+    rows += [(60, None, "a"), (None, "every w1 alone", "b")]
+    if repeated:
+        rows += [(d, text, c) for d, text, c in rows[:20]] + [(7, "every extra", "b"), (None, "every w2", "b")]
+    out = C.tfidf(spark.createDataFrame(rows, "d long, t string, c string"), "d", "t")
+    got = {(r.d, r.term): (r.tf, r.weight) for r in out.collect()}
+    tf = Counter((d, w) for d, text, _ in rows for w in (text or "").split())
+    seen = Counter(w for _, w in tf)
+    raw = {k: n * (math.log((1 + len(rows)) / (1 + seen[k[1]])) + 1) for k, n in tf.items()}
+    norm = Counter()
+    for (d, _), x in raw.items():
+        norm[d] += x * x
+    assert got == {k: (n, pytest.approx(raw[k] / math.sqrt(norm[k[0]]))) for k, n in tf.items()}
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("explode(") == 1 and "ReusedExchange" in plan
+
+
 def test_box_stats_narrowing(spark):
     rows = [("a", float(i)) for i in range(100)] + [("a", 1000.0)]
     df = spark.createDataFrame(rows, "g string, v double")
