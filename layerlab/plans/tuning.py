@@ -3,15 +3,19 @@
 Trials without hidden layers are linear heads, trained together (plans.descent):
 loss, learning rate, weight decay and epochs act. Trials with hidden layers are networks
 (plans.networks) with cross-entropy, fitted in chunks of iterations from the weights of the
-last chunk: hidden layers and epochs act. Settings that act alike share one fit; what
-does not act is marked in each trial. A trial that cannot be fitted has its reason.
+last chunk: hidden layers and epochs act. Settings that act alike share one fit, and all
+fits go on at the same time; what does not act is marked in each trial. A trial that
+cannot be fitted has its reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,14 @@ TRIALS = (
 EPOCH_LOG = "layer int, depth int, epoch int, train_loss double, val_loss double, val_accuracy double"
 
 
+def network_blocks(data: ProbeData) -> RDD:
+    """The training rows of all layers, dealt to the cores."""
+    bad = networks.unfit(data)
+    if bad:
+        raise ValueError(f"layers that cannot be fitted: {bad}")
+    return networks.training_blocks(data, data.layers)
+
+
 def chunked_network(
     data: ProbeData,
     hidden: Sequence[int],
@@ -38,25 +50,24 @@ def chunked_network(
     chunk: int,
     patience: int | None = None,
     seed: int = 42,
+    blocks: RDD | None = None,
+    precisions: Sequence[type] = (np.float64,),
 ) -> DataFrame:
     """Predictions after each chunk of iterations: (layer, depth, epoch, split, sample_id, y, yhat, logits).
 
     A chunk starts from the weights of the one before. `patience` counts chunks
     without a lower validation loss. No hidden layer gives softmax regression.
     All layers are fitted together; the loss that is lowered is the plain mean
-    over the training rows.
+    over the training rows. `blocks` are those of `network_blocks`, if the caller has them.
     """
-    bad = networks.unfit(data)
-    if bad:
-        raise ValueError(f"layers that cannot be fitted: {bad}")
+    own = network_blocks(data) if blocks is None else None
     sizes = {k: [w, *hidden, data.classes] for k, (w, _) in data.shapes.items()}
     rows = {k: n for k, (_, n) in data.shapes.items()}
     weights = {k: networks.initial_weights(s, seed) for k, s in sizes.items()}
     lowest, waited, out = dict.fromkeys(sizes, float("inf")), dict.fromkeys(sizes, 0), []
-    blocks = networks.training_blocks(data, data.layers)
     try:
         for start in range(0, epochs, chunk):
-            weights = networks.train(blocks, weights, sizes, rows, min(chunk, epochs - start))
+            weights = networks.train(blocks or own, weights, sizes, rows, min(chunk, epochs - start), precisions)
             scored = networks.predict(data, weights, sizes).select(
                 "layer", F.lit(len(hidden)).alias("depth"), F.lit(min(start + chunk, epochs)).alias("epoch"),
                 "split", "sample_id", "y", "yhat", "logits",
@@ -76,7 +87,8 @@ def chunked_network(
             if not weights:
                 break
     finally:
-        blocks.unpersist()
+        if own:
+            own.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 
@@ -144,34 +156,51 @@ def tune(
     defaults = {"hidden_layers": [], "epochs": 50, "loss_function": "bce" if many else "ce", "learning_rate": 1e-3, "weight_decay": 0.0}
     full = [defaults | p for p in grid]
     reasons = [_reason(p, many) for p in full]
-    fits: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    plan: dict[tuple, list[int]] = {}  # numbers of epochs by hidden layers
+    for p, r in zip(full, reasons):
+        if not r:
+            plan.setdefault(tuple(p["hidden_layers"]), []).append(p["epochs"])
+    plan = {hidden: sorted(set(asked)) for hidden, asked in sorted(plan.items())}
     heads = sorted({(p["loss_function"], p["learning_rate"], p["weight_decay"]) for p, r in zip(full, reasons) if not r and not p["hidden_layers"]})
     rows, losses = {}, {}
-    if heads:
-        asked = sorted({p["epochs"] for p, r in zip(full, reasons) if not r and not p["hidden_layers"]})
+
+    def fit_heads(asked: list[int]) -> None:
         widths = {k: w for k, (w, _) in data.shapes.items()}
         trained = train_heads(data.table, widths, classes, [Head(*h) for h in heads], asked[-1], asked, labels=labels)
         for r in trained.log.groupBy("layer", "head").agg(F.array_sort(F.collect_list(F.struct("epoch", "train_loss"))).alias("l")).collect():
             losses[r.layer, heads[r.head]] = [x.train_loss for x in r.l]
+        held_out = data.table.filter("split <> 'train'")  # the metrics are theirs
         for epochs, weights in trained.after.items():
-            found = _metrics(predict(data.table, weights, classes, labels), ["layer", "head"], many)
+            found = _metrics(predict(held_out, weights, classes, labels), ["layer", "head"], many)
             for r in found.collect():  # a row a layer and head
                 rows[r.layer, heads[r["head"]], epochs] = r.metrics
-    for hidden in sorted({tuple(p["hidden_layers"]) for p, r in zip(full, reasons) if not r and p["hidden_layers"]}):
-        asked = sorted({p["epochs"] for p, r in zip(full, reasons) if not r and tuple(p["hidden_layers"]) == hidden})
+
+    def fit_network(hidden: tuple, asked: list[int], blocks: RDD) -> None:
         step = min(b - a for a, b in zip([0, *asked], asked))
-        try:
-            chunks = chunked_network(data, hidden, asked[-1], step, seed=seed)
-            log = epoch_log(chunks).collect()
-            found = _metrics(chunks, ["layer", "epoch"], many).collect()
-        except Exception as error:  # noqa: BLE001 - a trial fails, the others go on
-            reasons = [str(error)[:200] if tuple(p["hidden_layers"]) == hidden and not r else r for p, r in zip(full, reasons)]
-            continue
-        for r in found:
+        chunks = chunked_network(data, hidden, asked[-1], step, seed=seed, blocks=blocks, precisions=(np.float32, np.float64))
+        log = epoch_log(chunks).collect()
+        for r in _metrics(chunks, ["layer", "epoch"], many).collect():
             rows[r.layer, hidden, r.epoch] = r.metrics
         for r in sorted(log, key=lambda r: r.epoch):
             losses.setdefault((r.layer, hidden), []).append(r.train_loss)
-        losses |= {(k, hidden, "step"): step for k in data.layers}
+        losses.update({(k, hidden, "step"): step for k in data.layers})
+
+    # all fits at once: the cores have rows of one while the driver makes the step of another
+    with ThreadPoolExecutor(max(1, len(plan))) as pool:
+        linear = pool.submit(fit_heads, plan[()]) if heads else None
+        nets, failed, blocks = {h: asked for h, asked in plan.items() if h}, {}, None
+        try:
+            blocks = network_blocks(data) if nets else None
+            fits = {h: pool.submit(fit_network, h, asked, blocks) for h, asked in nets.items()}
+            failed = {h: fit.exception() for h, fit in fits.items() if fit.exception()}
+        except Exception as error:  # noqa: BLE001 - trials fail, the others go on
+            failed = dict.fromkeys(nets, error)
+        finally:
+            if blocks:
+                blocks.unpersist()
+        if linear:
+            linear.result()
+    reasons = [r or (str(failed[h])[:200] if (h := tuple(p["hidden_layers"])) in failed else None) for p, r in zip(full, reasons)]
     out = []
     for layer in data.layers:
         for i, (params, reason) in enumerate(zip(full, reasons)):

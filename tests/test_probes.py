@@ -188,6 +188,61 @@ def test_heads_take_the_steps_of_adamw_on_any_layout(data):
     assert abs((test.y == test.yhat).mean() - last.val_accuracy) < 1e-9
 
 
+def test_trials_are_fitted_at_once_and_scored_on_held_out_rows(data, monkeypatch):
+    """The networks and the heads wait for each other's passes; no training row is predicted for the metrics."""
+    from threading import Barrier
+
+    both, plain, seen, predict = Barrier(3, timeout=60), {m: m._pass for m in (D, N)}, [], T.predict
+    went: set = set()
+
+    def meet(key):
+        if key not in went:  # each fit waits in its first pass until all have begun
+            went.add(key)
+            both.wait()
+
+    monkeypatch.setattr(D, "_pass", lambda *a: meet("heads") or plain[D](*a))
+    monkeypatch.setattr(N, "_pass", lambda blocks, weights, sizes: meet(len(sizes[0])) or plain[N](blocks, weights, sizes))
+    monkeypatch.setattr(T, "predict", lambda table, *a: seen.append({r.split for r in table.select("split").distinct().collect()}) or predict(table, *a))
+    grid = [{"hidden_layers": h, "epochs": 6, "learning_rate": 0.3} for h in ([], [4], [4, 3])]
+    trials = T.tune(data, grid).collect()
+    assert [r.status for r in trials] == ["done"] * 6 and seen == [{"test"}]
+
+
+def test_double_precision_goes_on_where_single_finds_no_lower_loss():
+    scale, goal, kinds = np.arange(1.0, 9.0) ** 2, np.arange(8.0), []
+    steps = N._in_turn(np.zeros(8), 100, (np.float32, np.float64))
+    at = next(steps)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            kinds.append(at.dtype.type)
+            at = at.astype(float)
+            value, slope = float(scale @ (at - goal) ** 2) + 1, 2 * scale * (at - goal)
+            # as coarse as products in single precision, or coarser
+            at = steps.send((round(value, 2), slope) if kinds[-1] is np.float32 else (value, slope))
+    assert kinds == sorted(kinds, key=[np.float32, np.float64].index) and set(kinds) == {np.float32, np.float64}
+    np.testing.assert_allclose(end.value.value, goal, atol=1e-2)
+
+
+def test_sums_of_heads_are_those_of_their_losses():
+    """Blocks by class, head and row, a few rows at a time, against whole blocks by row."""
+    rng = np.random.default_rng(6)
+    n = D.ROWS_IN_CACHE + 40
+    x, train = rng.normal(0, 1, (n, 3)), rng.random(n) < 0.5
+    for many, names in ((False, ["ce", "hinge", "focal", "ce"]), (True, ["bce", "focal", "bce"])):
+        bits = rng.integers(0, 2, (n, 4)).astype(float) if many else np.eye(4)[rng.integers(0, 4, n)]
+        here = D.Weights(rng.normal(0, 1, (3, len(names), 4)), rng.normal(0, 1, (len(names), 4)))
+        losses = [D.LOSSES[k, many] for k in names]
+        got = D._sums(here, losses, x[train], bits[train], x[~train], bits[~train], many)
+        z, want = here.logits(x), [[], [], [], [], []]
+        for k, loss in enumerate(losses):
+            by_row, slope = loss(z[:, k], bits)
+            right = ((z[:, k] > 0) == (bits > 0.5)).all(1) if many else z[:, k].argmax(1) == bits.argmax(1)
+            for a, v in zip(want, (x[train].T @ slope[train], slope[train].sum(0), by_row[train].sum(), by_row[~train].sum(), right[~train].sum())):
+                a.append(v)
+        flat = [np.stack(want[0], axis=1).reshape(-1), np.ravel(want[1]), *want[2:], [train.sum(), (~train).sum()]]
+        np.testing.assert_allclose(got, np.concatenate(flat), atol=1e-9)
+
+
 def test_heads_stop_without_a_lower_validation_loss(data):
     widths = {k: w for k, (w, _) in data.shapes.items()}
     got = D.train_heads(data.table, widths, 3, [D.Head("ce", 1.0), D.Head("ce", 1e-4)], 40, patience=2)
