@@ -243,6 +243,17 @@ def test_sums_of_heads_are_those_of_their_losses():
         np.testing.assert_allclose(got, np.concatenate(flat), atol=1e-9)
 
 
+def test_depths_are_fitted_at_once_over_rows_dealt_once(data, monkeypatch):
+    from threading import Barrier
+
+    both, dealt, plain, fit = Barrier(2, timeout=60), [], N.training_blocks, N.train
+    monkeypatch.setattr(N, "training_blocks", lambda *a: dealt.append(a) or plain(*a))
+    monkeypatch.setattr(N, "train", lambda *a: both.wait() is None or fit(*a))
+    predicted, failures = P.train_all_layers(data, [[4], [4, 3]], 3)
+    assert not failures and len(dealt) == 1
+    assert {(r.layer, r.depth) for r in predicted.select("layer", "depth").distinct().collect()} == {(k, n) for k in (0, 1) for n in (1, 2)}
+
+
 def test_heads_stop_without_a_lower_validation_loss(data):
     widths = {k: w for k, (w, _) in data.shapes.items()}
     got = D.train_heads(data.table, widths, 3, [D.Head("ce", 1.0), D.Head("ce", 1e-4)], 40, patience=2)
